@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space that is cut from both ends.
-BLANKS = " \t\n\r\f\v "
+BLANKS = " \t\n\r\f\v\u00a0"
 
 
 def _col(c: Column | str) -> Column:

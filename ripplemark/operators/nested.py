@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space and byte-order marks around a document.
-AROUND = " \t\r\n\f\v﻿​ "
+AROUND = " \t\r\n\f\v\ufeff\u200b\u00a0"
 #: Keys that are data rather than field names (an id used as key): they share one place in the tree.
 DATA_KEY = re.compile(r"^[A-Za-z]*[-_:#]?\d+$")
 #: Encodings of a document as a JSON string within a JSON string that are undone.
@@ -38,7 +38,7 @@ def document(body: Column) -> Column:
         return bind(F.btrim(text, F.lit(AROUND)), tries)
 
     def tries(s: Column) -> Column:
-        framed = F.regexp_extract(s, r'(?ms)^[ \t﻿]*([\[{"].*[\]}"])', 1)  # from the first line that begins with an opener
+        framed = F.regexp_extract(s, r'(?ms)^[ \t\x{FEFF}]*([\[{"].*[\]}"])', 1)  # from the first line that begins with an opener
         braces = F.regexp_extract(s, r"(?ms)^(\{.*\})", 1)
         inline = F.regexp_extract(s, r"(?s)^[^\[{]*(\{.*\}|\[.*\])", 1)
         bare = ~s.rlike(r'^[\[{"]')
@@ -46,7 +46,7 @@ def document(body: Column) -> Column:
             F.try_parse_json(s),
             F.try_parse_json(framed),
             F.when(bare, F.try_parse_json(braces)),
-            F.when(bare & ~s.rlike(r'(?m)^[ \t﻿]*[\[{"]'), F.try_parse_json(inline)),
+            F.when(bare & ~s.rlike(r'(?m)^[ \t\x{FEFF}]*[\[{"]'), F.try_parse_json(inline)),
         )
 
     def unwrap(v: Column) -> Column:
