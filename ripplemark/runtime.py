@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: list[str] = []
+_STAGED: list[str] = []
 
 
 def local_session(cores: str = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -58,6 +59,7 @@ class Staged:
     def __init__(self, df: DataFrame, tag: str = "stage"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
+        _STAGED.append(self.path)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
@@ -76,8 +78,15 @@ def partitions(spark: SparkSession) -> int:
 
 @atexit.register
 def _sweep() -> None:
-    for d in _OWN_DIRS:
-        shutil.rmtree(d, ignore_errors=True)
+    for d in [*_STAGED, *_OWN_DIRS]:
+        if d.startswith(("file:", "/")):
+            shutil.rmtree(d.removeprefix("file:"), ignore_errors=True)
+    spark = SparkSession.getActiveSession() if _STAGED else None
+    if spark is not None:
+        for d in _STAGED:
+            with contextlib.suppress(Exception):
+                p = spark._jvm.org.apache.hadoop.fs.Path(d)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table_bytes(spark: SparkSession, path: str) -> int:
