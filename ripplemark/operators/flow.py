@@ -34,7 +34,8 @@ def taint(defs: DataFrame, hot: DataFrame, passes: int = 2) -> DataFrame:
             for h, t, s in zip(rows["hot"], rows["target"], rows["source"]):
                 if h is True or s in seen:
                     seen.add(t)
-        return pd.DataFrame({"file": rows["file"].iloc[0], "fn": rows["fn"].iloc[0], "atom": sorted(seen)}, columns=["file", "fn", "atom"])
+        where = int(rows["file"].iloc[0]), int(rows["fn"].iloc[0])
+        return pd.DataFrame([(*where, a) for a in sorted(seen)], columns=["file", "fn", "atom"])
 
     return marked.select("file", "fn", "no", "target", "source", "hot").groupBy("file", "fn").applyInPandas(one, "file bigint, fn int, atom string")
 
