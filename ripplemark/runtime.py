@@ -97,3 +97,14 @@ def table_bytes(spark: SparkSession, path: str) -> int:
 
 def bench_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+
+
+def held(key: tuple, make):
+    """What make() gives, made once in a Python process: functions that travel with tasks bring their own globals along, so
+    what is dear to build is kept with the interpreter instead."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_ripplemark_held", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
