@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ripplemark.runtime import held
+
 #: Folder of the public tokenizers' files; never copied into the repository.
 TOKENIZERS = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
@@ -29,21 +30,22 @@ OVERLAP = 1 << 10
 GROW = 8
 
 
-@lru_cache(maxsize=4)
 def encoder(folder: str = TOKENIZERS, name: str = NAME):
     """The tokenizer of a rank file, without special tokens."""
     import tiktoken
 
-    with open(f"{folder}/{name}.tiktoken", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def make():
+        with open(f"{folder}/{name}.tiktoken", "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return held(("encoder", folder, name), make)
 
 
-@lru_cache(maxsize=1)
 def _pattern():
     import regex
 
-    return regex.compile(PATTERN)
+    return held(("pattern", PATTERN), lambda: regex.compile(PATTERN))
 
 
 def boundaries(text: str, lo: int, hi: int) -> list[int]:

@@ -8,6 +8,7 @@ prose from the rest read each text once in Arrow batches, whole.
 from __future__ import annotations
 
 import html
+import json
 import re
 import unicodedata
 from collections import Counter
@@ -78,9 +79,13 @@ _PLAIN = re.compile(r"^[(\"'“]?[^\W\d_][^\W\d_A-Z]{0,13}[.,;:!?)\"'”]*$")
 _VOWELS = frozenset("aeiouy")
 _PREFIX = re.compile(r"^\s*(>+|\*|//+|#|--|;|\|)(?:\s+|$)")
 _GAP = re.compile(r"(?<=[^\s.!?:])(?: {2,}|\t+)(?=\S)")
+_BARE_COMMA = re.compile(r",(?=[^\s\"']|$)")
+_BLOB = re.compile(r"^(?=.*[A-Z0-9+=])[A-Za-z0-9+/=_-]{50,}$")
+_BLOB_END = re.compile(r"^[A-Za-z0-9+/=_-]{2,}$")
 _SPECIAL = re.compile(r"<\|\w*\|>")
 _BREAK = re.compile(r"</?(?:p|br|div|li|tr|h\d)\b[^<>]*>", re.I)
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|code|tt|small)\b[^<>]*>", re.I)
+_EMPHASIS = re.compile(r"(?<![\w*_])(\*\*|__|\*|_)(?=\S)([^*\n]{1,80}?\S|\S)\1(?![\w*_])")
 _WRAPPED_STRING = re.compile(r'^\s*\{?\s*"\w+"\s*:\s*"(.{60,})"\s*\}?,?\s*$')
 _MOJIBAKE = re.compile("[\u00c3\u00c2\u00a1\u00a2\u00a3\u00bb\x80-\x9f\ufffd]")
 
@@ -95,7 +100,10 @@ def _string(line: str) -> list[str]:
     m = _WRAPPED_STRING.match(line)
     if m is None or m[1].count(" ") < 12:
         return [line]
-    return m[1].replace("\\n", "\n").replace("\\t", " ").replace('\\"', '"').split("\n")
+    try:
+        return json.loads(f'"{m[1]}"').split("\n")
+    except ValueError:
+        return [line]
 
 
 def _weight(s: str) -> int:
@@ -126,6 +134,8 @@ class Reader:
             return True
         words = s.split()
         gaps = len(_GAP.findall(s))
+        if len(_BARE_COMMA.findall(s)) >= 2 and len(words) <= 5 * s.count(","):
+            return True
         cs = self.share(words)
         if len(words) >= 9 and cs >= 0.2 and gaps <= 1:
             return False
@@ -133,8 +143,7 @@ class Reader:
             return True
         if _CODE_IN.search(line) and (_CODE_END.search(line) or cs < 0.1):
             return True
-        longest = max(map(len, s.split()))
-        return longest >= 50 and longest > 0.7 * len(s) and "/" not in s[:8]
+        return bool(_BLOB.match(s))
 
     def paragraph(self, lines: list[str]) -> bool:
         """Whether consecutive lines that are no listing and no bullets are prose."""
@@ -143,7 +152,7 @@ class Reader:
         n = len(words)
         cs = self.share(words)
         sentences = len(_SENTENCE_IN.findall(text)) + bool(_SENTENCE_END.search(text))
-        if n >= 8 and cs < 0.13 and not (cs > 0 and self.wordlike(words) and (6 * sentences <= n <= 30 * sentences or (n >= 7 * len(lines) and text.count(",") + text.count(";") + text.count("|") < n / 6))):
+        if n >= 8 and cs < 0.13 and not (cs > 0 and self.wordlike(words, 0.4 if sentences > 1 else 0.5) and (6 * sentences <= n <= 30 * sentences or (n >= 7 * len(lines) and text.count(",") + text.count(";") + text.count("|") < n / 6))):
             return False
         if n < 8 and cs == 0 and (_weight(text) > 70 or len(_MOJIBAKE.findall(text)) > 0.2 * len(text)):
             return False
@@ -163,17 +172,17 @@ class Reader:
         pieces = [p for p in re.split(r"\s*[,;|•·\t]\s*|\s{3,}", " ".join(lines)) if p.strip()]
         if len(pieces) >= 4:
             size = [len(p.split()) for p in pieces]
-            if sum(size) / len(size) <= 4.5 and sorted(size)[len(size) // 2] <= 4 and sentences <= 1 + len(pieces) // 12:
+            if sum(size) / len(size) <= 4.5 and sorted(size)[len(size) // 2] <= 4 and (sentences <= 1 or sentences * 30 < n):
                 return False  # fragments set in one line
         return True
 
     @staticmethod
-    def wordlike(words: list[str]) -> bool:
+    def wordlike(words: list[str], most: float) -> bool:
         """Whether most words are plain ones: letters only, in one case but for the first, with vowels among them."""
         plain = [w for w in words if _PLAIN.match(w)]
         letters = "".join(plain).casefold()
         vowels = sum(c in _VOWELS for c in unicodedata.normalize("NFD", letters))
-        return len(plain) >= 0.5 * len(words) and vowels >= 0.28 * len(letters)
+        return len(plain) >= most * len(words) and vowels >= 0.28 * len(letters)
 
     @staticmethod
     def wrapped(lines: list[str]) -> bool:
@@ -213,8 +222,11 @@ class Reader:
         t = _tidy(text)
         if "<" in t and (_BREAK.search(t) or _INLINE.search(t)):
             t = html.unescape(_INLINE.sub("", _BREAK.sub("\n", t)))
+        if "**" in t or "_" in t:
+            t = _EMPHASIS.sub(r"\2", t)
         lines = [y for x in re.split("[\n\r\x0b\x0c\x85\u2028\u2029]", t) for y in _string(x)]
         total = bad = 0
+        blob = False  # whether the line before was one long run of characters
         run: list[str] = []  # consecutive plain lines
         items: list[tuple[int, bool, str]] = []  # short plain paragraphs that may be items: weight, prose, text
 
@@ -255,9 +267,10 @@ class Reader:
                 prose = (len(words) >= 9 and self.share(words) >= 0.13 and (len(words) >= 12 or _SENTENCE_END.search(rest.strip()) is not None)) and not self.listing(rest)
                 if not prose:
                     bad += w
-            elif self.listing(line):
+            elif self.listing(line) or (blob and _BLOB_END.match(line.strip())):
                 close()
                 bad += w
+                blob = bool(_BLOB.match(line.strip()))
             else:
                 run.append(line)
         close()
