@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplemark.runtime import held
+from ripplemark.runtime import Staged, held
 
 #: Folder of the public tokenizers' files; never copied into the repository.
 TOKENIZERS = "/opt/tokenizers"
@@ -104,33 +104,27 @@ def encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folder:
     """
     docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     long = F.coalesce(F.length("text") > chunk, F.lit(False))
-    short_ids = docs.where(~long).mapInPandas(_encode_batches(folder, name), "doc bigint, ids array<int>")
-    out = short_ids
-    left = docs.where(long)
-    # the longest text bounds the rounds; one number leaves the cluster
-    longest = left.agg(F.max(F.length("text"))).first()[0] or 0
-    size = chunk
-    while longest:
-        whole = longest <= size
-        done, left = _round(left, size, overlap if not whole else size, whole, folder, name)
-        out = out.unionByName(done)
-        if whole or not left.limit(1).count():
-            break
-        size *= GROW
-        overlap *= GROW
+    out = docs.where(~long).mapInPandas(_encode_batches(folder, name), "doc bigint, ids array<int>")
+    left, size = docs.where(long), chunk
+    while left is not None:
+        done, left = _round(left, size, overlap, folder, name)
+        if done is not None:
+            out = out.unionByName(done)
+        size, overlap = size * GROW, overlap * GROW
     return out.select(F.col("doc").alias(doc_id), "ids")
 
 
-def _round(docs: DataFrame, size: int, overlap: int, whole: bool, folder: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """Encode the texts whose neighbours all meet; give back the others."""
-    if whole:
-        return docs.repartition("doc").mapInPandas(_encode_batches(folder, name), "doc bigint, ids array<int>"), docs.limit(0)
-    parts = docs.mapInPandas(_cut(size, overlap), "doc bigint, chunk int, last boolean, part string").repartition("doc", "chunk")
+def _round(docs: DataFrame, size: int, overlap: int, folder: str, name: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Encode the texts whose neighbours all meet; give back the others, or None if there are none. The parts are written
+    once, as they are read three times; a text of one part meets nobody."""
+    parts = Staged(docs.mapInPandas(_cut(size, overlap), "doc bigint, chunk int, last boolean, part string").repartition("doc", "chunk"), "parts").df
+    if not parts.limit(1).count():
+        return None, None
     seen = parts.mapInPandas(_meet(size, overlap), "doc bigint, chunk int, head array<int>, tail array<int>")
     nxt = seen.select("doc", (F.col("chunk") - 1).alias("chunk"), F.col("head").alias("next_head"))
     j = seen.join(nxt, ["doc", "chunk"], "left")
     # where this chunk's piece ends and the next one's begins; null at the end of the text
-    stitch = j.select("doc", "chunk", F.array_min(F.array_intersect("tail", "next_head")).cast("int").alias("to"), F.col("next_head").isNull().alias("end"))
+    stitch = Staged(j.select("doc", "chunk", F.array_min(F.array_intersect("tail", "next_head")).cast("int").alias("to"), F.col("next_head").isNull().alias("end")), "stitch").df
     stuck = stitch.where("to is null and not end").select("doc").distinct()
     ok = stitch.join(stuck, "doc", "left_anti")
     begins = ok.where("not end").select("doc", (F.col("chunk") + 1).alias("chunk"), F.col("to").alias("begin"))
@@ -139,7 +133,7 @@ def _round(docs: DataFrame, size: int, overlap: int, whole: bool, folder: str, n
     piece = F.expr(f"case when `to` is null then substring(part, begin - chunk * {size} + 1) else substring(part, begin - chunk * {size} + 1, `to` - begin) end")
     ids = parts.join(spans, ["doc", "chunk"]).select("doc", "chunk", piece.alias("text")).mapInPandas(_encode_batches(folder, name), "doc bigint, chunk int, ids array<int>")
     done = ids.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("p")).select("doc", F.flatten(F.transform("p", lambda p: p["ids"])).alias("ids"))
-    return done, docs.join(stuck, "doc", "left_semi")
+    return done, docs.join(stuck, "doc", "left_semi") if stuck.limit(1).count() else None
 
 
 def decode(encoded: DataFrame, doc_id: str = "doc_id", ids: str = "ids", folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
