@@ -90,9 +90,12 @@ _WRAPPED_STRING = re.compile(r'^\s*\{?\s*"\w+"\s*:\s*"(.{60,})"\s*\}?,?\s*$')
 _MOJIBAKE = re.compile("[\u00c3\u00c2\u00a1\u00a2\u00a3\u00bb\x80-\x9f\ufffd]")
 
 
+_FORMAT = re.compile("[\u00ad\u0600-\u0605\u061c\u06dd\u070f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]")
+
+
 def _tidy(text: str) -> str:
-    t = unicodedata.normalize("NFKC", text)
-    return "".join(c for c in t if unicodedata.category(c) != "Cf") if not t.isascii() else t
+    """Compatibility forms resolved, format characters dropped."""
+    return text if text.isascii() else _FORMAT.sub("", unicodedata.normalize("NFKC", text))
 
 
 def _string(line: str) -> list[str]:
@@ -114,13 +117,28 @@ class Reader:
     """Tells prose from the rest, given the common words of several languages."""
 
     def __init__(self, common: dict[str, set[str]]):
-        self.common = list(common.values())
+        # a word's languages as bits, and the same for words as they stand in texts, as far as there is room
+        self.bits: dict[str, int] = {}
+        for i, ws in enumerate(common.values()):
+            for w in ws:
+                self.bits[w] = self.bits.get(w, 0) | 1 << i
+        self.languages = len(common)
+        self.seen: dict[str, int] = {}
 
     def share(self, words: list[str]) -> float:
+        """Share of common words in the language that has most of them."""
         if not words:
             return 0.0
-        bare = [w.strip(_TRIM + "“”„‘’«»").casefold() for w in words]
-        return max((sum(b in c for b in bare) for c in self.common), default=0) / len(words)
+        seen, hits = self.seen, []
+        for w in words:
+            m = seen.get(w)
+            if m is None:
+                if len(seen) > 200_000:
+                    seen.clear()
+                m = seen[w] = self.bits.get(w.strip(_TRIM + "\u201c\u201d\u201e\u2018\u2019\u00ab\u00bb").casefold(), 0)
+            if m:
+                hits.append(m)
+        return max((sum(m >> i & 1 for m in hits) for i in range(self.languages)), default=0) / len(words)
 
     def listing(self, line: str) -> bool:
         """A line that no prose has: logs, code, tables, rules."""
@@ -217,9 +235,9 @@ class Reader:
             i = k
         return out
 
-    def no_prose(self, text: str) -> float:
+    def no_prose(self, text: str, tidy: bool = False) -> float:
         """Share of a text's visible characters that is no prose; 0 for a blank one."""
-        t = _tidy(text)
+        t = text if tidy else _tidy(text)
         if "<" in t and (_BREAK.search(t) or _INLINE.search(t)):
             t = html.unescape(_INLINE.sub("", _BREAK.sub("\n", t)))
         if "**" in t or "_" in t:
@@ -278,10 +296,10 @@ class Reader:
         return bad / total if total else 0.0
 
 
-def repetition(text: str) -> tuple[float, float, float, float]:
+def repetition(text: str, tidy: bool = False) -> tuple[float, float, float, float]:
     """Shares of duplicate lines and paragraphs (by visible characters: every copy after the first), of the characters
     covered by the most frequent GRAM-word sequence, and of those in any repeated one."""
-    t = _tidy(text)
+    t = text if tidy else _tidy(text)
 
     def copies(parts: list[str]) -> float:
         parts = [" ".join(p.split()) for p in parts]
@@ -294,13 +312,14 @@ def repetition(text: str) -> tuple[float, float, float, float]:
     top = dup = 0.0
     if len(words) >= GRAM and chars:
         grams = Counter(zip(*[words[i:] for i in range(GRAM)]))
-        g, k = max(grams.items(), key=lambda x: (x[1] * sum(map(len, x[0])), x[0]))
-        top = min(1.0, k * sum(map(len, g)) / chars) if k > 1 else 0.0
-        hit = bytearray(len(words))
-        for i, x in enumerate(zip(*[words[i:] for i in range(GRAM)])):
-            if grams[x] > 1:
-                hit[i : i + GRAM] = b"\x01" * GRAM
-        dup = sum(len(w) for w, h in zip(words, hit) if h) / chars
+        again = {g: k for g, k in grams.items() if k > 1}
+        if again:
+            top = min(1.0, max(k * sum(map(len, g)) for g, k in again.items()) / chars)
+            hit = bytearray(len(words))
+            for i, x in enumerate(zip(*[words[i:] for i in range(GRAM)])):
+                if x in again:
+                    hit[i : i + GRAM] = b"\x01" * GRAM
+            dup = sum(len(w) for w, h in zip(words, hit) if h) / chars
     return copies(re.split(r"[\r\n]+", t)), copies(re.split(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*", t)), top, dup
 
 
@@ -321,8 +340,9 @@ def measure(docs: DataFrame, common: dict[str, set[str]], doc_id: str = "doc_id"
                 if t is None or not t.strip():
                     rows.append((i, None, None, None, None, None))
                     continue
-                r = repetition(t)
-                bad = reader.no_prose(t)
+                t = _tidy(t)
+                r = repetition(t, True)
+                bad = reader.no_prose(t, True)
                 rows.append((i, *r, max(bad, r[2]) if r[2] >= DOMINANT else bad))
             yield pd.DataFrame(rows, columns=["doc", "dup_lines", "dup_paragraphs", "top_gram", "dup_grams", "no_prose"])
 
