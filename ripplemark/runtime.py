@@ -89,12 +89,6 @@ def _sweep() -> None:
                 p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def table_bytes(spark: SparkSession, path: str) -> int:
-    """Bytes of a table's files as the file system reports them; for size checks before a broadcast."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-
-
 def bench_dir() -> str:
     return os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 
