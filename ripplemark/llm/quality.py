@@ -25,6 +25,8 @@ GRAM = 3
 
 SPACE = r"[ \t\n\x0B\f\r]"
 _TRIM = ".,;:!?()[]{}\"'`*_"
+_EDGES = _TRIM + "\u201c\u201d\u201e\u2018\u2019\u00ab\u00bb"
+_NO_ALNUM = bytes(c for c in range(128) if not chr(c).isalnum())
 
 
 def basic(text: Column, common: list[str]) -> dict[str, Column]:
@@ -74,7 +76,7 @@ _CODE_END = re.compile(r"(?:[;{}]|\)\s*\{?|,)\s*$")
 _CODE_IN = re.compile(r"\w\s*\([^()]*\)\s*;|\w\s+=\s+\S|\w=\S|[<>=!]=|&&|\|\||->|\breturn\b.*;|std::\w+<|^\s*(?:if|for|while|switch)\s*\(|^[-+ ]\s{2,}\S")
 _SENTENCE_END = re.compile(r"[.!?…][\"'”’)\]*_`]*$")
 _SENTENCE_IN = re.compile(r"[^\W\d_][.!?][\"'”’)]*\s+\S")
-_SEPARATORS = re.compile(r"\s*[,;|\t\n•·/]\s*(?![/\w]*\.\w)|\s{3,}|\s\|\s")
+_PIECES = re.compile("[,;|\u2022\u00b7\t]| {3,}")
 _PLAIN = re.compile(r"^[(\"'“]?[^\W\d_][^\W\d_A-Z]{0,13}[.,;:!?)\"'”]*$")
 _VOWELS = frozenset("aeiouy")
 _PREFIX = re.compile(r"^\s*(>+|\*|//+|#|--|;|\|)(?:\s+|$)")
@@ -125,36 +127,42 @@ class Reader:
         self.languages = len(common)
         self.seen: dict[str, int] = {}
 
-    def share(self, words: list[str]) -> float:
-        """Share of common words in the language that has most of them."""
-        if not words:
-            return 0.0
-        seen, hits = self.seen, []
+    def hits(self, words: list[str]) -> list[int]:
+        """The languages, as bits, of those of the words that are common in any."""
+        seen, out = self.seen, []
         for w in words:
             m = seen.get(w)
             if m is None:
                 if len(seen) > 200_000:
                     seen.clear()
-                m = seen[w] = self.bits.get(w.strip(_TRIM + "\u201c\u201d\u201e\u2018\u2019\u00ab\u00bb").casefold(), 0)
+                m = seen[w] = self.bits.get(w.strip(_EDGES).casefold(), 0)
             if m:
-                hits.append(m)
-        return max((sum(m >> i & 1 for m in hits) for i in range(self.languages)), default=0) / len(words)
+                out.append(m)
+        return out
+
+    def share_of(self, hits: list[int], words: int) -> float:
+        """Share of common words in the language that has most of them."""
+        if not hits:
+            return 0.0
+        return max(sum([m >> i & 1 for m in hits]) for i in range(self.languages)) / words
 
-    def listing(self, line: str) -> bool:
-        """A line that no prose has: logs, code, tables, rules."""
+    def share(self, words: list[str]) -> float:
+        return self.share_of(self.hits(words), len(words)) if words else 0.0
+
+    def listing(self, line: str, words: list[str], hits: list[int]) -> bool:
+        """A line that no prose has: logs, code, tables, rules. words and hits are the line's own."""
         s = line.strip()
-        alnum = sum(map(str.isalnum, s))
+        alnum = len(s.encode().translate(None, _NO_ALNUM)) if s.isascii() else sum(map(str.isalnum, s))
         if alnum < 0.35 * len(s):
             return True
         if _LISTING.match(line) or (s[-1] == "{" and len(s) > 1):
             return True
-        if _SPECIAL.sub("", s).count("|") >= 2 or s.count("\u2502") >= 2 or s.count("\u2503") >= 2:
+        if "|" in s and _SPECIAL.sub("", s).count("|") >= 2 or not s.isascii() and (s.count("\u2502") >= 2 or s.count("\u2503") >= 2):
             return True
-        words = s.split()
-        gaps = len(_GAP.findall(s))
-        if len(_BARE_COMMA.findall(s)) >= 2 and len(words) <= 5 * s.count(","):
+        gaps = len(_GAP.findall(s)) if "  " in s or "\t" in s else 0
+        if s.count(",") >= 2 and len(_BARE_COMMA.findall(s)) >= 2 and len(words) <= 5 * s.count(","):
             return True
-        cs = self.share(words)
+        cs = self.share_of(hits, len(words))
         if len(words) >= 9 and cs >= 0.2 and gaps <= 1:
             return False
         if "\t" in s or gaps >= 2 or (gaps and len(words) < 9 and not _SENTENCE_END.search(s)):
@@ -163,33 +171,34 @@ class Reader:
             return True
         return bool(_BLOB.match(s))
 
-    def paragraph(self, lines: list[str]) -> bool:
-        """Whether consecutive lines that are no listing and no bullets are prose."""
+    def paragraph(self, lines: list[str], by_line: list[list[str]], hits: list[int]) -> bool:
+        """Whether consecutive lines that are no listing and no bullets are prose. by_line and hits: their words, and the
+        common ones among them."""
         text = "\n".join(lines)
-        words = text.split()
+        words = [w for x in by_line for w in x]
         n = len(words)
-        cs = self.share(words)
+        cs = self.share_of(hits, n)
         sentences = len(_SENTENCE_IN.findall(text)) + bool(_SENTENCE_END.search(text))
         if n >= 8 and cs < 0.13 and not (cs > 0 and self.wordlike(words, 0.4 if sentences > 1 else 0.5) and (6 * sentences <= n <= 30 * sentences or (n >= 7 * len(lines) and text.count(",") + text.count(";") + text.count("|") < n / 6))):
             return False
-        if n < 8 and cs == 0 and (_weight(text) > 70 or len(_MOJIBAKE.findall(text)) > 0.2 * len(text)):
+        odd = 0 if text.isascii() else len(_MOJIBAKE.findall(text)) / len(text)
+        if n < 8 and cs == 0 and (_weight(text) > 70 or odd > 0.2):
             return False
-        if len(_MOJIBAKE.findall(text)) > 0.25 * len(text):
+        if odd > 0.25:
             return False
         if n >= 12:
-            top = Counter(w.casefold() for w in words)
-            if len(top) < 0.25 * n and len(top) <= 12:
+            kinds = len(set(map(str.casefold, words)))
+            if kinds < 0.25 * n and kinds <= 12:
                 return False
-        per = [len(x.split()) for x in lines]
+        per = [len(x) for x in by_line]
         if len(lines) >= 4 and per[0] <= 6 and _SENTENCE_END.search(lines[0].strip()):  # what leads up to a list
             sentences, lines, n, per = sentences - 1, lines[1:], n - per[0], per[1:]
         mean = n / len(lines)
         runs_on = self.wrapped(lines) and (sentences or max(map(len, lines)) >= 44) and (sentences or mean > 3.6)
         if len(lines) >= 3 and max(per) <= 9 and mean <= 6 and not runs_on and sum(bool(_SENTENCE_END.search(x.strip())) for x in lines) < 0.5 * len(lines):
             return False  # short lines, each for itself
-        pieces = [p for p in re.split(r"\s*[,;|•·\t]\s*|\s{3,}", " ".join(lines)) if p.strip()]
-        if len(pieces) >= 4:
-            size = [len(p.split()) for p in pieces]
+        size = [k for p in _PIECES.split(" ".join(lines)) if (k := len(p.split()))]
+        if len(size) >= 4:
             if sum(size) / len(size) <= 4.5 and sorted(size)[len(size) // 2] <= 4 and (sentences <= 1 or sentences * 30 < n):
                 return False  # fragments set in one line
         return True
@@ -240,12 +249,14 @@ class Reader:
         t = text if tidy else _tidy(text)
         if "<" in t and (_BREAK.search(t) or _INLINE.search(t)):
             t = html.unescape(_INLINE.sub("", _BREAK.sub("\n", t)))
-        if "**" in t or "_" in t:
+        if "**" in t or " _" in t or "\n_" in t or " *" in t:
             t = _EMPHASIS.sub(r"\2", t)
-        lines = [y for x in re.split("[\n\r\x0b\x0c\x85\u2028\u2029]", t) for y in _string(x)]
+        lines = [y for x in t.splitlines() for y in _string(x)]
         total = bad = 0
         blob = False  # whether the line before was one long run of characters
-        run: list[str] = []  # consecutive plain lines
+        run: list[str] = []  # consecutive plain lines, their words, and the common ones of all
+        by_line: list[list[str]] = []
+        run_hits: list[int] = []
         items: list[tuple[int, bool, str]] = []  # short plain paragraphs that may be items: weight, prose, text
 
         def close() -> None:
@@ -253,14 +264,16 @@ class Reader:
             if not run:
                 return
             w = sum(map(_weight, run))
-            ok = self.paragraph(run)
-            if len(run) <= 2 and len(" ".join(run).split()) <= 8 and not _SENTENCE_END.search(run[-1].strip()):
+            ok = self.paragraph(run, by_line, run_hits)
+            if len(run) <= 2 and sum(map(len, by_line)) <= 8 and not _SENTENCE_END.search(run[-1].strip()):
                 items.append((w, ok, " ".join(run)))
             else:
                 settle()
                 if not ok:
                     bad += w
             run.clear()
+            by_line.clear()
+            run_hits.clear()
 
         def settle() -> None:
             """Short paragraphs in a row are a list set apart by blank lines; a few are titles."""
@@ -282,15 +295,21 @@ class Reader:
                 close()
                 rest = line[m.end() :]
                 words = rest.split()
-                prose = (len(words) >= 9 and self.share(words) >= 0.13 and (len(words) >= 12 or _SENTENCE_END.search(rest.strip()) is not None)) and not self.listing(rest)
+                hits = self.hits(words)
+                prose = len(words) >= 9 and self.share_of(hits, len(words)) >= 0.13 and (len(words) >= 12 or _SENTENCE_END.search(rest.strip()) is not None) and not self.listing(rest, words, hits)
                 if not prose:
                     bad += w
-            elif self.listing(line) or (blob and _BLOB_END.match(line.strip())):
+                continue
+            words = line.split()
+            hits = self.hits(words)
+            if self.listing(line, words, hits) or (blob and _BLOB_END.match(line.strip())):
                 close()
                 bad += w
-                blob = bool(_BLOB.match(line.strip()))
+                blob = len(words) == 1 and _BLOB.match(words[0]) is not None
             else:
                 run.append(line)
+                by_line.append(words)
+                run_hits += hits
         close()
         settle()
         return bad / total if total else 0.0
@@ -320,7 +339,8 @@ def repetition(text: str, tidy: bool = False) -> tuple[float, float, float, floa
                 if x in again:
                     hit[i : i + GRAM] = b"\x01" * GRAM
             dup = sum(len(w) for w, h in zip(words, hit) if h) / chars
-    return copies(re.split(r"[\r\n]+", t)), copies(re.split(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*", t)), top, dup
+    t = t.replace("\r\n", "\n").replace("\r", "\n")
+    return copies(t.split("\n")), copies(re.split(r"\n[ \t]*\n\s*", t)), top, dup
 
 
 #: A text most of whose characters lie in one short repeated sequence is junk, whatever else it looks like.
