@@ -22,9 +22,12 @@ EDGES_A_ROOT, EDGES_A_NODE = 6, 12
 
 
 def edges_resolved(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges both of whose ends are known symbols (two semi joins on uneven keys)."""
-    for end in ("dependent", "dependency"):
-        edges = skew_join(edges, symbols.select(F.col("id").alias(end)).distinct(), [end], ["ord"], "left_semi", sample_on=["ord"])
+    """Edges both of whose ends are known symbols (two semi joins on uneven keys, both planned on the edges as given)."""
+    ends = ("dependent", "dependency")
+    plans = {e: plan_loads(edges.select(e, "ord"), [e], ["ord"]) for e in ends}
+    known = symbols.select("id").distinct()
+    for e in ends:
+        edges = skew_join(edges, known.select(F.col("id").alias(e)), [e], ["ord"], "left_semi", plan=plans[e])
     return edges
 
 

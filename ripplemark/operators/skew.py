@@ -123,8 +123,13 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: list[s
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"no such join here: {how}")
     plan = plan or plan_loads(left, keys, **estimate)
-    lf, rt = fragment(left, plan, spread), replicate(right, plan)
-    return lf.join(rt, ["_bin", *keys], how).drop("_bin")
+    lf = fragment(left, plan, spread)
+    if how in ("inner", "left"):
+        return lf.join(replicate(right, plan), ["_bin", *keys], how).drop("_bin")
+    # a semi or anti join would be pushed below the placement of the rows and lose it
+    there = replicate(right.select(*keys).distinct(), plan).withColumn("_there", F.lit(True))
+    j = lf.join(there, ["_bin", *keys], "left")
+    return j.where(F.col("_there").isNotNull() if how == "left_semi" else F.col("_there").isNull()).select(*left.columns)
 
 
 def node_loads(edges: DataFrame, one_in: int = 16, bins: int | None = None) -> DataFrame:

@@ -11,12 +11,19 @@ from ripplemark.operators.changes import changed_symbols
 from ripplemark.operators.ranking import first_k
 from ripplemark.plans import bindings as B
 from ripplemark.plans.bindings import CH, E, S, V
-from ripplemark.plans.graph_queries import _ONE_HOP, _ROOTS, _folder, _roots
+from ripplemark.plans.graph_queries import _ONE_HOP, _ROOTS, Two, _folder, _roots
+from ripplemark.runtime import Staged
 from ripplemark.sources.tables import table
 
 
-def _delta(spark: SparkSession, d: str) -> DataFrame:
-    o, n = (x.alias(a) for x, a in zip(B.last_two(spark, d), "on"))
+def _two(spark: SparkSession, d: str) -> Two:
+    """The last two snapshots, written once: roots, risks and weights all read them."""
+    old, new = B.last_two(spark, d)
+    return Staged(old, "old").df, Staged(new, "new").df
+
+
+def _delta(two: Two) -> DataFrame:
+    o, n = (x.alias(a) for x, a in zip(two, "on"))
     differ = lambda c: ~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
     empty = F.expr("cast(array() as array<string>)")
     a, b = F.coalesce(F.col("o.tokens"), empty), F.coalesce(F.col("n.tokens"), empty)
@@ -34,32 +41,38 @@ def _delta(spark: SparkSession, d: str) -> DataFrame:
 
 
 def risk_rules(spark: SparkSession, d: str) -> DataFrame:
-    return K.risk_rows(_delta(spark, d))
+    return K.risk_rows(_delta(B.last_two(spark, d)))
+
+
+def _reach(spark: SparkSession, d: str, two: Two) -> DataFrame:
+    return G.reach(B.edges(spark, d), _roots(spark, d, two), 1)[0]
 
 
-def _reach(spark: SparkSession, d: str) -> DataFrame:
-    return G.reach(B.edges(spark, d), _roots(spark, d), 1)[0]
+def _cases(nodes: DataFrame, two: Two) -> DataFrame:
+    return K.generate(nodes, K.risk_rows(_delta(two)), F.col("node").startswith("file:"))
 
 
-def _cases(spark: SparkSession, d: str) -> DataFrame:
-    return K.generate(_reach(spark, d), risk_rules(spark, d), F.col("node").startswith("file:"))
+def _plain_cases(spark: SparkSession, d: str) -> DataFrame:
+    two = _two(spark, d)
+    return _cases(_reach(spark, d, two), two)
 
 
 def case_generation(spark: SparkSession, d: str) -> DataFrame:
-    return _cases(spark, d).select("node", "hop", "risk_group", "sub_reason", F.size("roots").alias("n_roots"), F.element_at("roots", 1).alias("first_root"))
+    return _plain_cases(spark, d).select("node", "hop", "risk_group", "sub_reason", F.size("roots").alias("n_roots"), F.element_at("roots", 1).alias("first_root"))
 
 
 def case_priority(spark: SparkSession, d: str) -> DataFrame:
-    c = _cases(spark, d)
+    c = _plain_cases(spark, d)
     return c.groupBy(K.priority(F.col("hop"), F.col("risk_group"), F.col("sub_reason")).alias("priority"), "hop", "risk_group").agg(F.count(F.lit(1)).alias("cases"))
 
 
-def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return changed_symbols(*B.last_two(spark, d)).select(F.col("usr").alias("root"), "lines")
+def _weights(two: Two) -> DataFrame:
+    return changed_symbols(*two).select(F.col("usr").alias("root"), "lines")
 
 
 def case_features(spark: SparkSession, d: str) -> DataFrame:
-    return K.features(_reach(spark, d), _weights(spark, d))
+    two = _two(spark, d)
+    return K.features(_reach(spark, d, two), _weights(two))
 
 
 def _fixes(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +82,9 @@ def _fixes(spark: SparkSession, d: str) -> DataFrame:
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
     s = B.symbols(spark, d).select(F.col("id").alias("node"), "name", "file", "line")
-    c = _cases(spark, d).join(case_features(spark, d), "node", "left").join(s, "node", "left").join(_fixes(spark, d), "file", "left")
+    two = _two(spark, d)
+    nodes = Staged(_reach(spark, d, two), "reach").df  # read by both the cases and their features
+    c = _cases(nodes, two).join(K.features(nodes, _weights(two)), "node", "left").join(s, "node", "left").join(_fixes(spark, d), "file", "left")
     return K.rank(c.withColumn("fan_in", F.coalesce("fan_in", F.lit(0))))
 
 

@@ -9,7 +9,7 @@ from ripplemark.functions.ids import clean_id, clean_word
 from ripplemark.operators import nested
 from ripplemark.operators.hierarchy import descendants, one_parent, solve
 from ripplemark.operators.orphans import orphans_by_mask, period_orphans
-from ripplemark.operators.skew import node_loads, skew_join
+from ripplemark.operators.skew import node_loads, plan_loads, skew_join
 from ripplemark.operators.snapshot_diff import snapshot_changes
 from ripplemark.sources.tables import dep_edges, lives, provider_edges, symbols, table
 
@@ -29,9 +29,10 @@ def p1_kind_matrix(spark: SparkSession, d: str) -> DataFrame:
     """Edges by relation and the kinds of their two ends: two joins on very uneven keys."""
     e = dep_edges(spark, d).groupBy("ord").agg(*[F.min(c).alias(c) for c in ("dependency", "dependent", "relation")])
     s = symbols(spark, d).select("id", "kind")
-    out = e
-    for side in ("dependency", "dependent"):
-        out = skew_join(out, s.select(F.col("id").alias(side), F.col("kind").alias(f"{side}_kind")), [side], ["ord"], "left", sample_on=["ord"])
+    out, sides = e, ("dependency", "dependent")
+    plans = {x: plan_loads(e.select(x, "ord"), [x], ["ord"]) for x in sides}
+    for x in sides:
+        out = skew_join(out, s.select(F.col("id").alias(x), F.col("kind").alias(f"{x}_kind")), [x], ["ord"], "left", plan=plans[x])
     return out.groupBy("relation", "dependency_kind", "dependent_kind").agg(F.count(F.lit(1)).alias("edges"))
 
 

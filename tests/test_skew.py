@@ -84,3 +84,19 @@ def test_skew_join_is_the_plain_join(spark, how):
 def test_skew_join_refuses_others(spark):
     with pytest.raises(ValueError):
         skew.skew_join(spark.range(1), spark.range(1), ["id"], ["id"], "full")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_joins_keep_the_placement(spark, how):
+    left = spark.range(60000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 4000).cast("int").alias("k"), "id")
+    right = spark.range(2000).select(F.col("id").cast("int").alias("k"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        j = skew.skew_join(left, right, ["k"], ["id"], how, bins=6)
+        j.write.format("noop").mode("overwrite").save()
+        plan = j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    join = plan[plan.index("SortMergeJoin") :]
+    assert join.count("direct_shuffle_partition_id") == 2 and "ENSURE_REQUIREMENTS" not in join.split("distinct")[0].split("HashAggregate")[0]
