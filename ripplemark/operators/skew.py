@@ -78,7 +78,8 @@ def plan_loads(df: DataFrame, keys: list[str], sample_on: list[str] | None = Non
 
 
 def _bin(plan: LoadPlan, unit: Column) -> Column:
-    return F.element_at(F.lit(plan.bin_of), unit + 1)
+    """The bin of a unit. The mapping is one literal text, folded to an array when the query is planned."""
+    return F.element_at(F.split(F.lit(",".join(map(str, plan.bin_of))), ",").cast("array<int>"), unit + 1)
 
 
 def _with_heavy(df: DataFrame, plan: LoadPlan) -> DataFrame:
