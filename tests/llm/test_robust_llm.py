@@ -45,5 +45,5 @@ def test_one_text_far_longer_than_the_rest(spark, tmp_path):
     n = {r["doc_id"]: len(r["ids"]) for r in Q.p6_ids(spark, d).collect()}
     assert n[3] == n[4] == 0 and n[1] > 200000 and n[5] > 0 and n[6] > 0
     assert {r["doc_id"] for r in Q.p8_found(spark, d).collect()} == {1, 6}  # one sentence without end is junk as well
-    assert Q.p7_found(spark, d).count() <= 1
+    assert [tuple(r) for r in Q.p7_found(spark, d).collect()] == [(1, 1)]
     assert Q.p8_basic(spark, d).count() == 6
