@@ -4,7 +4,8 @@ Both sides are squeezed to letters and digits, without case, marks, markup, esca
 of letters counts. Every stretch of WINDOW squeezed characters that begins at a word of an item is a search string.
 Block shift tables tell at which places of a text no string can end; the others are looked up by the hash of the whole
 window and its bucket is compared directly. Hits that line up, in the item as in the text, make a chain; a document
-leaks an item if one chain holds enough of its words in a row.
+leaks an item if one chain holds enough of its words in a row. Where hits are too few for that, what stands around each
+is aligned with the item word by word, past a few altered words.
 
 The item set is taken in blocks of ITEMS_A_BLOCK, each held by every task, and the corpus is read once a block. Texts
 are searched whole; nothing but the leaks leaves a task.
@@ -31,11 +32,20 @@ WINDOW = 14
 BLOCK = 4
 #: Bits of the shift table's index.
 BITS = 22
-#: Words of an item that one chain must hold to count: one more than the seven that do not count. Twenty words of which a
-#: sixth is altered hold more than that, as two whole neighbours or one long word make a hit.
+#: Words of an item that one chain must hold to count: one more than the seven that do not count.
 ENOUGH = 8
-#: A phrase that several items share counts for none of them, unless it is as long as a leak itself.
+#: Of PASSAGE words on end, so many must be held around one hit if what lies between altered words is aligned: twenty
+#: words of which three are altered keep fourteen even where single words between two altered ones are lost.
+PASSAGE, ALIGNED = 20, 14
+#: Words of the text and of the item that an alignment may pass over at once.
+OVER_TEXT, OVER_ITEM = 4, 3
+_SKIPS = sorted(((a, b) for a in range(OVER_TEXT + 1) for b in range(OVER_ITEM + 1) if a + b), key=lambda x: (x[0] + x[1], abs(x[0] - x[1])))
+#: A phrase that several items share counts for none of them, unless it is as long as a leak itself. It counts in an
+#: alignment that also holds OWN_WORDS words outside such phrases.
 LONG_PHRASE = 20
+OWN_WORDS = 2
+#: A shared string of more items than this is a set phrase of any length, and no alignment begins there.
+FEW_ITEMS = 8
 #: Squeezed characters that may come in between or be missing from one hit of a chain to the next.
 SLACK = 120
 ITEMS_A_BLOCK = 20_000
@@ -85,13 +95,22 @@ def plain(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFKD", text)
 
 
+def _coded(text: str) -> np.ndarray:
+    return _codes()[np.frombuffer(plain(text).encode("utf-32-le", "replace"), dtype=np.uint32)]
+
+
 def squeeze(text: str) -> np.ndarray:
     """Codes of the letters and digits of a text, nothing between them."""
-    a = np.frombuffer(plain(text).encode("utf-32-le", "replace"), dtype=np.uint32)
-    c = _codes()[a]
+    c = _coded(text)
     return c[c > 0]
 
 
+def edges(coded: np.ndarray) -> np.ndarray:
+    """Places of the squeezed codes before which something was dropped, with both ends."""
+    at = np.flatnonzero(coded)
+    return np.concatenate([[0], np.flatnonzero(np.diff(at) > 1) + 1, [len(at)]])
+
+
 def _blocks(c: np.ndarray) -> np.ndarray:
     """Table index of the BLOCK characters that end at each place from BLOCK - 1 on."""
     n = len(c) - BLOCK + 1
@@ -114,31 +133,75 @@ def _windows(c: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return h
 
 
+def _both_ways(c: np.ndarray, bounds: np.ndarray) -> tuple:
+    """A text and the edges of its words, forwards and backwards."""
+    return (c.tobytes(), bounds.tolist()), (c[::-1].tobytes(), (len(c) - bounds[::-1]).tolist())
+
+
+def _run(raw: bytes, bounds: list[int], words: list[bytes], p: int, j: int) -> list[tuple[int, int]]:
+    """(place, word) of the words from j on that stand on end at place p, the last of them up to an edge."""
+    out = []
+    while j < len(words) and raw.startswith(words[j], p):
+        out.append((p, j))
+        p, j = p + len(words[j]), j + 1
+    while out:
+        end = out[-1][0] + len(words[out[-1][1]])
+        if bounds[bisect.bisect_left(bounds, end)] == end:
+            break
+        out.pop()
+    return out
+
+
+def _walk(raw: bytes, bounds: list[int], words: list[bytes], p: int, j: int) -> list[tuple[int, int]]:
+    """(place, word) of the words from j on that the text holds from place p on, past altered, missing and additional
+    words as long as two neighbours stand behind them."""
+    out = _run(raw, bounds, words, p, j)
+    if out:
+        p, j = out[-1][0] + len(words[out[-1][1]]), out[-1][1] + 1
+    while p < len(raw) and j < len(words):
+        first = bisect.bisect_left(bounds, p)
+        for a, b in _SKIPS:
+            at = first + a - (a > 0 and bounds[first] != p)
+            if at >= len(bounds) - 1:
+                continue
+            more = _run(raw, bounds, words, bounds[at], j + b)
+            if len(more) > 1:
+                out += more
+                p, j = more[-1][0] + len(words[more[-1][1]]), more[-1][1] + 1
+                break
+        else:
+            break
+    return out
+
+
 class Search:
     """Shift table and hash buckets of the search strings of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         strings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)  # window -> (item, word)
-        self.ids, self.words, self.starts = [], [], []
+        self.ids, self.words, self.starts, self.texts = [], [], [], []
         for k, (item, text) in enumerate(items):
             ws = [w for w in (squeeze(x) for x in plain(text).split()) if len(w)]
             c = np.concatenate(ws) if ws else np.zeros(0, np.uint8)
             at = np.concatenate([[0], np.cumsum([len(w) for w in ws])]).astype(np.int64) if ws else np.zeros(1, np.int64)
             self.ids.append(item)
             self.words.append(len(ws))
+            self.texts.append([w.tobytes() for w in ws])
             self.starts.append(at)
             for j in range(len(ws)):
                 if at[j] + WINDOW <= len(c):
                     strings[c[at[j] : at[j] + WINDOW].tobytes()].append((k, j))
-        keep = self._own(strings)
+        own = self._own(strings)
+        # words of each item that lie in a phrase that does not count for it
+        self.common = [np.zeros(n, dtype=bool) for n in self.words]
+        for s, v in strings.items():
+            for k, j in set(v) - set(own.get(s, ())):
+                self.common[k][j : self._last(k, j)] = True
+        keep = {s: v for s, v in strings.items() if s in own or len({k for k, _ in v}) <= FEW_ITEMS}
         self.strings = list(keep)
-        # by string: the words of each item at which it begins, in order
-        self.places: list[dict[int, list[int]]] = []
-        for v in keep.values():
-            own: dict[int, list[int]] = {}
-            for k, j in v:
-                own.setdefault(k, []).append(j)
-            self.places.append({k: sorted(set(js)) for k, js in own.items()})
+        # by string: the words of each item at which it begins, in order; those that count for it by themselves, and all
+        self.places = [self._by_item(own.get(s, ())) for s in keep]
+        self.all_places = [self._by_item(v) for v in keep.values()]
         pats = np.frombuffer(b"".join(self.strings), dtype=np.uint8).reshape(-1, WINDOW) if keep else np.zeros((0, WINDOW), np.uint8)
         # the classic table: how far the search may move on, by the block that ends at the place; zero means look closer
         self.shift = np.full(1 << BITS, WINDOW - BLOCK + 1, dtype=np.uint8)
@@ -150,6 +213,18 @@ class Search:
         order = np.argsort(h, kind="stable")
         self.hashes, self.order, self.pats = h[order], order, pats
 
+    def _last(self, k: int, j: int) -> int:
+        """The words of the item before this one lie wholly in the window that begins at word j."""
+        at = self.starts[k]
+        return max(int(np.searchsorted(at, at[j] + WINDOW, side="right")) - 1, j + 1)
+
+    @staticmethod
+    def _by_item(v) -> dict[int, list[int]]:
+        out: dict[int, list[int]] = {}
+        for k, j in v:
+            out.setdefault(k, []).append(j)
+        return {k: sorted(set(js)) for k, js in out.items()}
+
     @staticmethod
     def _own(strings: dict[bytes, list[tuple[int, int]]]) -> dict[bytes, list[tuple[int, int]]]:
         """Without the strings that several items share, except where two items share LONG_PHRASE words on end."""
@@ -157,7 +232,7 @@ class Search:
         runs: dict[tuple[int, int], list[tuple[int, bytes]]] = defaultdict(list)
         for s, v in shared.items():
             owners = sorted({k for k, _ in v})
-            if len(owners) <= 8:  # a phrase of more items is a set phrase of any length
+            if len(owners) <= FEW_ITEMS:
                 for k, j in v:
                     for o in owners:
                         if o != k:
@@ -200,21 +275,49 @@ class Search:
         return ends[ok], which[ok]
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item, words held, first and last word) of the items of which a chain holds ENOUGH words."""
-        ends, which = self.hits(squeeze(text))
+        """(item, words held, first and last word) of the items of which a chain holds ENOUGH words, or an alignment
+        ALIGNED of PASSAGE words."""
+        coded = _coded(text)
+        c = coded[coded > 0]
+        ends, which = self.hits(c)
         by: dict[int, list[tuple[int, int]]] = defaultdict(list)  # item: place in the text, string
         for e, w in zip(ends.tolist(), which.tolist()):
-            for k in self.places[w]:
+            for k in self.all_places[w]:
                 by[k].append((e - WINDOW + 1, w))
-        out = []
+        out, both = [], None
         for k, v in by.items():
-            if len({w for _, w in v}) * 4 < min(ENOUGH, self.words[k]):
-                continue
-            best = self._chain(k, v)
-            if best and best[0] >= min(ENOUGH, max(2, self.words[k] * 5 // 6)):
+            own, n = [h for h in v if k in self.places[h[1]]], self.words[k]
+            best = self._chain(k, own) if len({w for _, w in own}) * 4 >= min(ENOUGH, n) else None
+            if not best or best[0] < min(ENOUGH, max(2, n * 5 // 6)):
+                if n < ENOUGH:
+                    continue
+                both = both or _both_ways(c, edges(coded))
+                best = self._aligned(k, v, both)
+            if best:
                 out.append((self.ids[k], *best))
         return out
 
+    def _aligned(self, k: int, hits: list[tuple[int, int]], both: tuple) -> tuple[int, int, int] | None:
+        """The first alignment around a hit that holds enough words, some of them outside common phrases."""
+        (raw, bounds), (raw_back, bounds_back) = both
+        words, n = self.texts[k], self.words[k]
+        back = [w[::-1] for w in reversed(words)]
+        done: set[tuple[int, int]] = set()  # diagonals of the text's words that an alignment went over already
+        for p, w in hits:
+            for j in self.all_places[w][k]:
+                if (p, j) in done:
+                    continue
+                right = _walk(raw, bounds, words, p, j)
+                left = _walk(raw_back, bounds_back, back, len(raw) - p, n - j)
+                done |= set(right)
+                held = {x for _, x in right} | {n - 1 - x for _, x in left}
+                x = sorted(held)
+                need = min(ALIGNED, n * 5 // 6)
+                dense = any(x[i + need - 1] - x[i] < PASSAGE for i in range(len(x) - need + 1))
+                if dense and sum(not self.common[k][i] for i in x) >= OWN_WORDS:
+                    return len(x), x[0], x[-1]
+        return None
+
     def _chain(self, k: int, hits: list[tuple[int, int]]) -> tuple[int, int, int] | None:
         """The longest chain of hits in line, by words held. Each hit joins the latest open chain that it continues: the
         word of the item that fits best is looked up, however often the string comes in the item. A hit that continues
@@ -240,9 +343,8 @@ class Search:
                 open_ = [c for c in open_ if p - c[0] <= 20 * SLACK][-16:] + fresh
                 homes = [(c, c[1]) for c in fresh]
             for ch, j in homes:
-                last = int(np.searchsorted(at, at[j] + WINDOW, side="right")) - 1  # words before this one lie wholly in the window
                 ch[0], ch[1] = p, j
-                ch[2].update(range(j, min(max(last, j + 1), n)))
+                ch[2].update(range(j, min(self._last(k, j), n)))
                 if best is None or len(ch[2]) > best[0]:
                     best = (len(ch[2]), ch[3], j)
         return best

@@ -92,3 +92,21 @@ def test_repeats_without_end():
     s = L.Search([(1, item)])
     assert s.leaks((cut(item, 5, 10) + " ") * 5000) == []
     assert s.leaks((cut(item, 5, 10) + " ") * 500 + item)[0][0] == 1
+
+
+def test_shared_strings_and_altered_words_between_hits():
+    r = random.Random(5)
+    items = []
+    for k in range(6):
+        w = ["".join(r.choice("abcdefghij") for _ in range(r.randint(3, 4))) for _ in range(44)]
+        w[8:12] = w[28:32] = "inside the outer orders".split()
+        items.append((k, " ".join(w)))
+    s = L.Search(items)
+    for k, text in items:
+        w = text.split()
+        for a in range(len(w) - 19):
+            for off in range(2, 6):
+                part = w[a : a + 20]
+                part[off::6] = ["other"] * 3
+                assert [x[0] for x in s.leaks("before " + " ".join(part) + " after")] == [k], (k, a, off)
+            assert s.leaks("before " + " ".join(w[a : a + 7]) + " after") == []
