@@ -3,7 +3,8 @@
 A text of up to CHUNK characters is encoded as it is. A longer one is cut into chunks that overlap by OVERLAP characters.
 Each chunk is pre-tokenised on its own; a chunk that begins amid a pre-token may begin wrongly, but the pattern looks only
 ahead, so from the first boundary that the chunk shares with its predecessor on, both agree. Neighbours are stitched at
-that boundary, each piece between two stitches is encoded by itself, and the ids are put in order. If two neighbours
+the first such boundary that has no white space before it (how a run of white space is split depends on what follows
+it, which the piece before the stitch no longer shows), each piece between two stitches is encoded by itself, and the ids are put in order. If two neighbours
 share no boundary in their overlap (a run of one class of characters longer than the overlap) the chunks are made
 longer, at last the whole text. Pieces of one text are encoded by different tasks.
 """
@@ -90,7 +91,7 @@ def _meet(chunk: int, overlap: int):
                 # the final pre-token of a part may be cut short: leave the last quarter of the overlap out
                 safe = overlap - overlap // 4
                 heads.append([i * chunk + p for p in boundaries(t[: overlap * 2], 0, safe)] if i else [0])
-                tails.append([] if last else [i * chunk + p for p in boundaries(t, chunk, chunk + safe)])
+                tails.append([] if last else [i * chunk + p for p in boundaries(t, chunk, chunk + safe) if not t[p - 1].isspace()])
             yield pd.DataFrame({"doc": b["doc"], "chunk": b["chunk"], "head": heads, "tail": tails})
 
     return run

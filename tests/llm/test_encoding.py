@@ -39,6 +39,12 @@ def test_chunks_make_no_difference(spark):
         assert got[i] == (e.encode_ordinary(x) if x else []), repr(x)[:80]
 
 
+def test_chunk_that_begins_behind_white_space(spark):
+    texts = [("word " * 20)[: 64 - len(x)] + x + "bar" + " more words" * 20 for x in ("\n\n", "\r\n", " \t", "\n \n\n", "\t\t", "\n")]
+    e, got = E.encoder(), ids_of(spark, texts, chunk=64, overlap=16)
+    assert [got[i] for i in range(len(texts))] == [e.encode_ordinary(x) for x in texts]
+
+
 def test_round_trip(spark):
     texts = [x for x in ODD if x]
     df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
