@@ -13,6 +13,7 @@ from ripplemark.plans import bindings as B
 from ripplemark.plans.bindings import CH, E, S, V
 from ripplemark.plans.graph_queries import _ONE_HOP, _ROOTS, Two, _folder, _roots
 from ripplemark.runtime import Staged
+from ripplemark.sources.settings import Settings
 from ripplemark.sources.tables import table
 
 
@@ -44,35 +45,51 @@ def risk_rules(spark: SparkSession, d: str) -> DataFrame:
     return K.risk_rows(_delta(B.last_two(spark, d)))
 
 
-def _reach(spark: SparkSession, d: str, two: Two) -> DataFrame:
-    return G.reach(B.edges(spark, d), _roots(spark, d, two), 1)[0]
+#: The walk of the engine; the queries without this ending go one hop, as their SQL does.
+HOPS = Settings.max_hop
+
+
+def _reach(spark: SparkSession, d: str, two: Two, hops: int = 1) -> DataFrame:
+    return G.reach(B.edges(spark, d), _roots(spark, d, two), hops)[0]
 
 
 def _cases(nodes: DataFrame, two: Two) -> DataFrame:
     return K.generate(nodes, K.risk_rows(_delta(two)), F.col("node").startswith("file:"))
 
 
-def _plain_cases(spark: SparkSession, d: str) -> DataFrame:
+def _plain_cases(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
     two = _two(spark, d)
-    return _cases(_reach(spark, d, two), two)
+    return _cases(_reach(spark, d, two, hops), two)
+
 
+def case_generation(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+    return _plain_cases(spark, d, hops).select("node", "hop", "risk_group", "sub_reason", F.size("roots").alias("n_roots"), F.element_at("roots", 1).alias("first_root"))
 
-def case_generation(spark: SparkSession, d: str) -> DataFrame:
-    return _plain_cases(spark, d).select("node", "hop", "risk_group", "sub_reason", F.size("roots").alias("n_roots"), F.element_at("roots", 1).alias("first_root"))
 
+def case_generation_whole(spark: SparkSession, d: str) -> DataFrame:
+    return case_generation(spark, d, HOPS)
 
-def case_priority(spark: SparkSession, d: str) -> DataFrame:
-    c = _plain_cases(spark, d)
+
+def case_priority(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+    c = _plain_cases(spark, d, hops)
     return c.groupBy(K.priority(F.col("hop"), F.col("risk_group"), F.col("sub_reason")).alias("priority"), "hop", "risk_group").agg(F.count(F.lit(1)).alias("cases"))
 
 
+def case_priority_whole(spark: SparkSession, d: str) -> DataFrame:
+    return case_priority(spark, d, HOPS)
+
+
 def _weights(two: Two) -> DataFrame:
     return changed_symbols(*two).select(F.col("usr").alias("root"), "lines")
 
 
-def case_features(spark: SparkSession, d: str) -> DataFrame:
+def case_features(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
     two = _two(spark, d)
-    return K.features(_reach(spark, d, two), _weights(two))
+    return K.features(_reach(spark, d, two, hops), _weights(two))
+
+
+def case_features_whole(spark: SparkSession, d: str) -> DataFrame:
+    return case_features(spark, d, HOPS)
 
 
 def _fixes(spark: SparkSession, d: str) -> DataFrame:
@@ -80,20 +97,28 @@ def _fixes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "symbol").where("removed_at is not null and file is not null").select("id", "file", "removed_at").distinct().groupBy("file").agg(F.count(F.lit(1)).alias("fixes"))
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
+def _ranked(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
     s = B.symbols(spark, d).select(F.col("id").alias("node"), "name", "file", "line")
     two = _two(spark, d)
-    nodes = Staged(_reach(spark, d, two), "reach").df  # read by both the cases and their features
+    nodes = Staged(_reach(spark, d, two, hops), "reach").df  # read by both the cases and their features
     c = _cases(nodes, two).join(K.features(nodes, _weights(two)), "node", "left").join(s, "node", "left").join(_fixes(spark, d), "file", "left")
     return K.rank(c.withColumn("fan_in", F.coalesce("fan_in", F.lit(0))))
 
 
-def case_ranking(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(spark, d).select("id", "priority", "node", "hop", "risk_group", "sub_reason")
+def case_ranking(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+    return _ranked(spark, d, hops).select("id", "priority", "node", "hop", "risk_group", "sub_reason")
+
+
+def case_ranking_whole(spark: SparkSession, d: str) -> DataFrame:
+    return case_ranking(spark, d, HOPS)
+
+
+def case_keys(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+    return K.keys(_ranked(spark, d, hops)).select("rank", "key")
 
 
-def case_keys(spark: SparkSession, d: str) -> DataFrame:
-    return K.keys(_ranked(spark, d)).select("rank", "key")
+def case_keys_whole(spark: SparkSession, d: str) -> DataFrame:
+    return case_keys(spark, d, HOPS)
 
 
 def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
@@ -152,6 +177,7 @@ def uncertainty_flags(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        case_generation_whole, case_priority_whole, case_features_whole, case_ranking_whole, case_keys_whole,
         risk_rules, case_generation, case_priority, case_features, case_ranking, case_keys, topk_per_group, merge_cases, evidence_gate, target_scope, scope_filter, reader_proximity, uncertainty_flags,
     )
 }

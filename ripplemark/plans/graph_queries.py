@@ -9,6 +9,7 @@ from ripplemark.operators import changes as C
 from ripplemark.operators import graph as G
 from ripplemark.plans import bindings as B
 from ripplemark.plans.bindings import CH, E, PE, S, V
+from ripplemark.sources.settings import Settings
 from ripplemark.sources.tables import table
 
 
@@ -44,11 +45,15 @@ def impact_deep(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("hop").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("node").alias("nodes"))
 
 
-def reach_edges_topk(spark: SparkSession, d: str) -> DataFrame:
-    _, found = G.reach(B.edges(spark, d), _roots(spark, d), 1)
+def reach_edges_topk(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+    _, found = G.reach(B.edges(spark, d), _roots(spark, d), hops)
     return G.reach_edges(found).select("root", "node", "ord", "relation")
 
 
+def reach_edges_topk_whole(spark: SparkSession, d: str) -> DataFrame:
+    return reach_edges_topk(spark, d, Settings.max_hop)
+
+
 def edges_resolved(spark: SparkSession, d: str) -> DataFrame:
     return G.edges_resolved(B.edges(spark, d), B.symbols(spark, d)).groupBy("relation").agg(F.count(F.lit(1)).alias("edges"))
 
@@ -138,20 +143,28 @@ def include_resolve(spark: SparkSession, d: str) -> DataFrame:
     return G.resolve_includes(e, files)
 
 
-def test_gaps(spark: SparkSession, d: str) -> DataFrame:
-    """Changed symbols that nothing in a monitor or guard file reaches within one hop."""
+def test_gaps(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+    """Changed symbols that nothing in a monitor or guard file reaches within so many hops."""
     roots = changed(spark, d).select(F.col("usr").alias("root"))
-    _, found = G.reach(B.edges(spark, d), roots, 1)
+    _, found = G.reach(B.edges(spark, d), roots, hops)
     return G.test_gaps(roots, found, F.coalesce(F.col("file").rlike(r"(^|/)[a-z]+_(monitor|guard)_"), F.lit(False)))
 
 
-def split_units(spark: SparkSession, d: str) -> DataFrame:
+def test_gaps_whole(spark: SparkSession, d: str) -> DataFrame:
+    return test_gaps(spark, d, Settings.max_hop)
+
+
+def split_units(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
     """Reach by unit: the folder of the root carried through the walk."""
     c = changed(spark, d)
-    nodes, _ = G.reach(B.edges(spark, d), c.select(F.col("usr").alias("root")), 1)
+    nodes, _ = G.reach(B.edges(spark, d), c.select(F.col("usr").alias("root")), hops)
     return nodes.join(c.select(F.col("usr").alias("root"), _folder("file").alias("unit")), "root").groupBy("unit").agg(F.countDistinct("node").alias("nodes"), F.max("hop").alias("hop"))
 
 
+def split_units_whole(spark: SparkSession, d: str) -> DataFrame:
+    return split_units(spark, d, Settings.max_hop)
+
+
 def innermost_range(spark: SparkSession, d: str) -> DataFrame:
     """The function around the place of each macro use."""
     p = B.edges(spark, d).where("relation = 'macro_expand' and file is not null and line is not null").select("ord", "file", "line")
@@ -228,6 +241,7 @@ def szz_vote(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        reach_edges_topk_whole, test_gaps_whole, split_units_whole,
         changed_symbols, traverse_limits, impact_bfs, impact_deep, reach_edges_topk, edges_resolved, callers, override_pairs, target_dependents, affected_targets, file_targets,
         overlay_unknown, overlay_kept, choose_def, resolve_symbols, entry_points, downstream_edges, include_resolve, test_gaps, split_units, innermost_range, residual_lines,
         residual_functions, changed_calls, function_body, qualify_names, facts_merge, token_delta, new_values, fix_history, szz_vote,
