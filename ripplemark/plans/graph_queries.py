@@ -45,6 +45,12 @@ def impact_deep(spark: SparkSession, d: str) -> DataFrame:
     return nodes.groupBy("hop").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("node").alias("nodes"))
 
 
+def impact_deep_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Reach by hop count up to 4 hops over all edges from all changed symbols."""
+    nodes, _ = G.reach(B.edges(spark, d), changed(spark, d).select(F.col("usr").alias("root")), 4)
+    return nodes.groupBy("hop").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("node").alias("nodes"))
+
+
 def reach_edges_topk(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
     _, found = G.reach(B.edges(spark, d), _roots(spark, d), hops)
     return G.reach_edges(found).select("root", "node", "ord", "relation")
@@ -76,13 +82,17 @@ def target_dependents(spark: SparkSession, d: str) -> DataFrame:
     return G.closure(_folder_deps(spark, d), "target", "needs")
 
 
+def target_dependents_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.closure(_folder_deps(spark, d, "true"), "target", "needs")
+
+
 def _folder(c: str) -> F.Column:
     return F.regexp_extract(c, r"^([^/]+/[^/]+)/", 1)
 
 
-def _folder_deps(spark: SparkSession, d: str) -> DataFrame:
+def _folder_deps(spark: SparkSession, d: str, where: str = "relation = 'instantiate'") -> DataFrame:
     s = B.symbols(spark, d).select("id", _folder("file").alias("t")).where("t <> ''")
-    e = B.edges(spark, d).where("relation = 'instantiate'")
+    e = B.edges(spark, d).where(where)
     return (
         e.join(s.select(F.col("id").alias("dependent"), F.col("t").alias("target")), "dependent")
         .join(s.select(F.col("id").alias("dependency"), F.col("t").alias("needs")), "dependency")
@@ -95,6 +105,12 @@ def affected_targets(spark: SparkSession, d: str) -> DataFrame:
     return G.affected_targets(touched, _folder_deps(spark, d))
 
 
+def affected_targets_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Folders that any change touches, and all that need them by any relation."""
+    touched = changed(spark, d).select(_folder("file").alias("target")).where("target <> ''")
+    return G.affected_targets(touched, _folder_deps(spark, d, "true"))
+
+
 def file_targets(spark: SparkSession, d: str) -> DataFrame:
     """Folders a file belongs to: its own, and those of the files that include it."""
     e = B.edges(spark, d).where("relation = 'include'").select(F.col("dependency").alias("path"), F.col("dependent").alias("by")).where("path like 'file:%' and `by` like 'file:%'").distinct()
@@ -127,6 +143,10 @@ def entry_points(spark: SparkSession, d: str) -> DataFrame:
     return G.entry_points(calls, starts, 2).select("start", F.array_join("entries", " ").alias("entries"), "more")
 
 
+def entry_points_whole(spark: SparkSession, d: str) -> DataFrame:
+    return G.entry_points(G.callers(B.edges(spark, d)), changed(spark, d).select(F.col("usr").alias("start"))).select("start", F.array_join("entries", " ").alias("entries"), "more")
+
+
 def downstream_edges(spark: SparkSession, d: str) -> DataFrame:
     """Callees on the lines of changed functions."""
     e = B.edges(spark, d).where("relation = 'call' and dependency is not null and dependent is not null and line is not null and file is not null")
@@ -241,7 +261,7 @@ def szz_vote(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        reach_edges_topk_whole, test_gaps_whole, split_units_whole,
+        impact_deep_whole, target_dependents_whole, affected_targets_whole, entry_points_whole, reach_edges_topk_whole, test_gaps_whole, split_units_whole,
         changed_symbols, traverse_limits, impact_bfs, impact_deep, reach_edges_topk, edges_resolved, callers, override_pairs, target_dependents, affected_targets, file_targets,
         overlay_unknown, overlay_kept, choose_def, resolve_symbols, entry_points, downstream_edges, include_resolve, test_gaps, split_units, innermost_range, residual_lines,
         residual_functions, changed_calls, function_body, qualify_names, facts_merge, token_delta, new_values, fix_history, szz_vote,

@@ -50,3 +50,24 @@ def test_gaps_and_units_at_two_hops(spark):
         ns, top = want.get(unit[r], (set(), 0))
         want[unit[r]] = (ns | {n}, max(top, h))
     assert {u: (n, h) for u, n, h in rows(spark, "split_units_whole")} == {u: (len(ns), h) for u, (ns, h) in want.items()}
+
+
+@needs_data
+def test_deep_reach_over_all_edges(spark):
+    _, _, hops, _ = walk(spark, 4)
+    want = {}
+    for (_, n), h in hops.items():
+        want.setdefault(h, []).append(n)
+    assert {(h, p, n) for h, p, n in rows(spark, "impact_deep_whole")} == {(h, len(ns), len(set(ns))) for h, ns in want.items()}
+
+
+@needs_data
+def test_folders_and_entry_points_over_all_relations(spark):
+    some, all_ = set(rows(spark, "target_dependents")), set(rows(spark, "target_dependents_whole"))
+    assert some < all_
+    touched = {r["t"] for r in Q["changed_symbols"](spark, DATA).select(F.regexp_extract("file", "^([^/]+/[^/]+)/", 1).alias("t")).collect() if r["t"]}
+    want = {(t, None) for t in touched} | {(a, min(n for x, n in all_ if x == a and n in touched)) for a, b in all_ if b in touched and a not in touched}
+    assert set(rows(spark, "affected_targets_whole")) == want
+    calls = {(r["callee"], r["caller"]) for r in B.edges(spark, DATA).where("relation = 'call' and dependency is not null and dependent is not null").selectExpr("dependency callee", "dependent caller").collect()}
+    starts = {r["usr"] for r in Q["changed_symbols"](spark, DATA).collect()}
+    assert {r[0] for r in rows(spark, "entry_points_whole")} == {s for s in starts if any(a == s and b != s for a, b in calls)}
