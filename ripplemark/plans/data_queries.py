@@ -67,22 +67,14 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "report_raw").where(F.col("body").isNotNull())
-    return raw.select(
-        "record_id",
-        clean_word("kind").alias("kind"),
-        F.concat_ws("#", "record_id", F.hex(F.xxhash64("body"))).alias("doc_key"),
-        nested.document(F.col("body")).alias("doc"),
-    )
-
-
-def _first(t: DataFrame, *names: str) -> F.Column:
-    """The first of the columns that the tables' merged schema knows and that is not null."""
-    there = [F.col(n) for n in names if n in t.columns]
-    return F.coalesce(*there) if there else F.lit(None).cast("string")
+    rows = raw.select("record_id", clean_word("kind").alias("kind"), F.concat_ws("#", "record_id", F.hex(F.xxhash64("body"))).alias("doc_key"), "body")
+    return nested.documents(rows.distinct(), "body")
 
 
 class _Records:
-    """The related tables of all three kinds of record, out of one inference pass."""
+    """The related tables of all three kinds of record, out of one parse and one inference pass."""
+
+    CARRY = {"id": ("id",), "intro": ("intro",)}
 
     def __init__(self, spark: SparkSession, d: str):
         docs = _documents(spark, d)
@@ -91,43 +83,47 @@ class _Records:
         self.tables = {}
         for kind in ("report", "pilot", "verdicts"):
             mine = docs.where(F.col("kind") == kind)
-            self.tables[kind] = nested.tables(mine, trees.get(kind, nested.Place()), ["record_id"], carry=("id", "intro"))
+            self.tables[kind] = nested.tables(mine, trees.get(kind, nested.Place()), ["record_id"], carry=self.CARRY)
 
-    def at(self, kind: str, place: str) -> list[tuple[str, DataFrame]]:
+    def at(self, kind: str, place: str) -> list[tuple[str, nested.Table]]:
+        """The tables of a field, wherever in the record it is."""
         return [(n, t) for n, t in self.tables[kind].items() if n == place or n.endswith(f".{place}")]
 
     def union(self, parts: list[DataFrame], empty: str) -> DataFrame:
         out = self.spark.createDataFrame([], empty)
         for p in parts:
             out = out.unionByName(p)
-        return out.distinct()
+        return out
 
     CANDIDATE = "record_id bigint, row_key string, pos int, id string, description string, priority string, risk_group string, sub_reason string, hop_distance bigint"
 
     def candidates(self) -> DataFrame:
         cols = ("id", "description", "priority", "risk_group", "sub_reason")
         return self.union(
-            [t.select("record_id", "row_key", "pos", *[_first(t, c).alias(c) for c in cols], _first(t, "hop_distance").cast("bigint").alias("hop_distance")) for _, t in self.at("report", "test_case_candidates")],
+            [t.df.select("record_id", F.col("_row_key").alias("row_key"), F.col("_pos").alias("pos"), *[t.col(c).alias(c) for c in cols], t.col("hop_distance").cast("bigint").alias("hop_distance")) for _, t in self.at("report", "test_case_candidates")],
             self.CANDIDATE,
         )
 
     def evidence(self) -> DataFrame:
         """Each evidence element with its candidate's id; the parent's fields travel with the exploded row."""
         parts = []
-        for name, cand in self.at("report", "test_case_candidates"):
+        for name, _ in self.at("report", "test_case_candidates"):
             ev = self.tables["report"].get(f"{name}.evidence")
             if ev is None:
                 continue
-            val = _first(ev, "qualified_name", "symbol_qualified_name", "from_symbol_qualified_name", "edge_from_symbol_qualified_name", "symbol", "value")
-            parts.append(ev.select("record_id", "row_key", "parent_key", _first(ev, "parent_id").alias("parent"), "pos", val.alias("val"), _first(ev, "relation", "edge_relation").alias("relation")))
+            q = "qualified_name"
+            val = F.coalesce(*[ev.col(*p) for p in ((q,), ("symbol", q), ("from_symbol", q), ("edge", "from_symbol", q), ("symbol",), ())])
+            parent = F.col("_parent_id") if "_parent_id" in ev.df.columns else F.lit(None).cast("string")
+            parts.append(ev.df.select("record_id", F.col("_row_key").alias("row_key"), F.col("_parent_key").alias("parent_key"), parent.alias("parent"), F.col("_pos").alias("pos"), val.alias("val"), F.coalesce(ev.col("relation"), ev.col("edge", "relation")).alias("relation")))
         return self.union(parts, "record_id bigint, row_key string, parent_key string, parent string, pos int, val string, relation string")
 
     def hits(self) -> DataFrame:
         parts = []
         for _, t in self.at("pilot", "hits"):
-            pair = F.concat_ws(":", _first(t, "symbol_file_path"), _first(t, "symbol_function"))
-            both = (_first(t, "symbol_file_path").isNotNull()) & (_first(t, "symbol_function").isNotNull())
-            parts.append(t.select("record_id", "row_key", "parent_key", _first(t, "parent_intro").alias("parent"), "pos", F.coalesce(_first(t, "symbol"), F.when(both, pair)).alias("val"), _first(t, "hop").cast("bigint").alias("hop")))
+            path, function = t.col("symbol", "file_path"), t.col("symbol", "function")
+            pair = F.when(path.isNotNull() & function.isNotNull(), F.concat_ws(":", path, function))
+            parent = F.col("_parent_intro") if "_parent_intro" in t.df.columns else F.lit(None).cast("string")
+            parts.append(t.df.select("record_id", F.col("_row_key").alias("row_key"), F.col("_parent_key").alias("parent_key"), parent.alias("parent"), F.col("_pos").alias("pos"), F.coalesce(t.col("symbol"), pair).alias("val"), t.col("hop").cast("bigint").alias("hop")))
         return self.union(parts, "record_id bigint, row_key string, parent_key string, parent string, pos int, val string, hop bigint")
 
     def checks(self) -> DataFrame:
@@ -135,16 +131,23 @@ class _Records:
         parts = []
         for name, t in self.at("verdicts", "additional_checks"):
             ev = self.tables["verdicts"].get(f"{name}.evidence")
-            if ev is None:  # nowhere a list
-                src, key, pos = t, "row_key", F.col("pos")
-                v = F.coalesce(_first(t, "evidence"), F.concat_ws(":", _first(t, "evidence_file_path"), _first(t, "evidence_line").cast("string")))
-                parts.append(src.select("record_id", F.col(key).alias("row_key"), pos.alias("pos"), F.nullif(v, F.lit("")).alias("val")).where("val is not null"))
+            src, at = (t, ("evidence",)) if ev is None else (ev, ())  # nowhere a list
+            path, line = src.col(*at, "file_path"), src.col(*at, "line").cast("string")
+            val = F.coalesce(src.col(*at), F.when(path.isNotNull() & line.isNotNull(), F.concat_ws(":", path, line)))
+            if ev is None:
+                parts.append(t.df.select("record_id", F.col("_row_key").alias("row_key"), F.col("_pos").alias("pos"), val.alias("val")).where("val is not null"))
                 continue
-            pair = F.when(_first(ev, "file_path").isNotNull() & _first(ev, "line").isNotNull(), F.concat_ws(":", _first(ev, "file_path"), _first(ev, "line").cast("string")))
-            v = ev.select("record_id", F.col("parent_key").alias("row_key"), F.col("parent_pos").alias("pos"), F.col("pos").alias("at"), F.coalesce(_first(ev, "value"), pair).alias("val")).where("val is not null")
-            parts.append(v.groupBy("record_id", "row_key", "pos").agg(F.min(F.struct("at", "val")).alias("f")).select("record_id", "row_key", "pos", F.col("f.val").alias("val")))
+            v = ev.df.select("record_id", F.col("_parent_key").alias("row_key"), F.col("_parent_pos").alias("pos"), F.col("_pos").alias("at"), val.alias("val")).where("val is not null")
+            parts.append(v.groupBy("record_id", "row_key", "pos").agg(F.min_by("val", "at").alias("val")))
         return self.union(parts, "record_id bigint, row_key string, pos int, val string")
 
+    def verdicts(self) -> DataFrame:
+        """The judged cases: entries of the map of a verdicts record, by case id."""
+        parts = []
+        for _, t in self.at("verdicts", "cases.{}"):
+            parts.append(t.df.select("record_id", F.col("_row_key").alias("row_key"), F.col("_map_key").alias("case_id"), t.col("verdict").alias("verdict"), t.col("note").alias("note")))
+        return self.union(parts, "record_id bigint, row_key string, case_id string, verdict string, note string")
+
 
 def p3_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _Records(spark, d).candidates()
@@ -162,13 +165,18 @@ def p3_checks(spark: SparkSession, d: str) -> DataFrame:
     return _Records(spark, d).checks()
 
 
+def p3_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return _Records(spark, d).verdicts()
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     r = _Records(spark, d)
 
     def rows(df: DataFrame, item: str, parent: F.Column) -> DataFrame:
         return df.where("val is not null").select("record_id", F.lit(item).alias("item"), parent.alias("parent"), "pos", "val")
 
-    return rows(r.evidence(), "evidence", F.col("parent")).unionByName(rows(r.hits(), "hit", F.col("parent"))).unionByName(rows(r.checks(), "check", F.lit("additional_checks")))
+    out = rows(r.evidence(), "evidence", F.col("parent")).unionByName(rows(r.hits(), "hit", F.col("parent"))).unionByName(rows(r.checks(), "check", F.lit("additional_checks")))
+    return out.distinct()
 
 
 # --- 4: what changed between snapshots
@@ -211,7 +219,7 @@ def p5_composite(spark: SparkSession, d: str) -> DataFrame:
     return orphans_by_mask(e, ["dependent", "file"], t, ["id", "file"], "partial", ["ord"]).groupBy("null_mask").agg(F.count(F.lit(1)).alias("refs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_node_loads, p1_kind_matrix, p2_found, p2_paths, p2_descendants, p3_found, p3_candidates, p3_evidence, p3_hits, p3_checks, p4_found, p4_counts, p5_found, p5_by_month, p5_composite)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_node_loads, p1_kind_matrix, p2_found, p2_paths, p2_descendants, p3_found, p3_candidates, p3_evidence, p3_hits, p3_checks, p3_verdicts, p4_found, p4_counts, p5_found, p5_by_month, p5_composite)}
 
 _EDGES = """
 e as (select ord, nullif(trim(dependency), '') dependency, nullif(trim(dependent), '') dependent, lower(trim(relation)) relation, file, seen_at from dep),
