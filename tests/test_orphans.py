@@ -34,7 +34,7 @@ def test_periods(spark, monkeypatch):
     df, lv = spark.createDataFrame(refs, REFS), spark.createDataFrame(lives, LIVES).select("id", "born", "gone")
     want = brute(refs, lives)
     assert {tuple(x) for x in O.period_orphans(df.drop("x"), lv).collect()} == want
-    monkeypatch.setattr(O, "LIVES_IN_ARRAY", 3)
+    monkeypatch.setattr(O, "PERIODS_IN_ARRAY", 3)
     got = [tuple(x) for x in O.period_orphans(df.drop("x"), lv).collect()]
     assert set(got) == want and len(got) == len(want)
 
@@ -56,3 +56,14 @@ def test_masks(spark):
     assert ids("simple") == [(7, ".."), (7, "..")]
     assert ids("partial") == [(3, ".0"), (5, "0."), (7, ".."), (7, "..")]
     assert ids("full") == [(2, ".0"), (3, ".0"), (4, "0."), (5, "0."), (7, ".."), (7, "..")]
+
+
+def test_all_masks_of_a_period(spark):
+    refs = spark.createDataFrame([("a", 1, "i", T(5), 0), ("a", 2, "i", T(15), 0), ("a", 3, "i", None, 0), ("a", 4, "n", None, 0), ("a", 5, None, T(5), 0), ("a", 6, None, None, 0), ("a", 7, "n", T(1), 0)], REFS)
+    lives = spark.createDataFrame([("i", T(0), T(10), 0), (None, T(0), None, 0)], LIVES)
+    o = O.orphans_by_mask(refs, ["ref_id", "at"], lives, ["id"], "partial", ["row_id"], O.Period("at", "born", "gone"), ("ref_id",))
+    assert sorted((r["row_id"], r["null_mask"], r["known"]) for r in o.collect()) == [(2, "..", True), (4, ".0", False), (7, "..", False)]
+    simple = O.orphans_by_mask(refs, ["ref_id", "at"], lives, ["id"], "simple", ["row_id"], O.Period("at", "born", "gone"))
+    assert sorted(r["row_id"] for r in simple.collect()) == [2, 7]
+    full = O.orphans_by_mask(refs, ["ref_id", "at"], lives, ["id"], "full", ["row_id"], O.Period("at", "born", "gone"))
+    assert sorted((r["row_id"], r["null_mask"]) for r in full.collect()) == [(2, ".."), (3, ".0"), (4, ".0"), (5, "0."), (7, "..")]
