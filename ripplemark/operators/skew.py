@@ -24,6 +24,10 @@ from ripplemark.runtime import partitions
 #: A key is split once it is expected to fill more than this share of a bin; a shard fills at most as much.
 SHARE = 0.5
 SLOTS_A_BIN = 16
+#: Rows a bin is meant to hold, so that a task's work does not grow with the data, and the number of bins a plan has at
+#: most; beyond that bins grow, and Spark spills.
+ROWS_A_BIN = 1 << 18
+MAX_BINS = 1 << 14
 
 
 @dataclass
@@ -39,20 +43,29 @@ class LoadPlan:
 def plan_loads(df: DataFrame, keys: list[str], sample_on: list[str] | None = None, one_in: int = 16, bins: int | None = None, slots_a_bin: int = SLOTS_A_BIN) -> LoadPlan:
     """Estimate loads by counting the rows whose hash of `sample_on` falls into one of `one_in` classes (all rows if
     sample_on is None) and pack them. An empty table gives a plan of equal slots."""
-    spark = df.sparkSession
-    bins = bins or partitions(spark)
-    slots = bins * slots_a_bin
     picked = df if sample_on is None else df.where(F.pmod(F.xxhash64(*sample_on), F.lit(one_in)) == 0)
-    slot = F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
-    counted = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).withColumn("_slot", slot).persist()
+    counted = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        sums = [0] * slots
-        for r in counted.groupBy("_slot").agg(F.sum("n").alias("n")).collect():
-            sums[r["_slot"]] = r["n"]
-        most = max(1.0, sum(sums) * SHARE / bins)
-        large = counted.where(F.col("n") > most).orderBy(F.desc("n"), *keys).limit(int(bins / SHARE) + 1).collect()
+        return plan_counts(counted, keys, 1 if sample_on is None else one_in, bins, slots_a_bin)
     finally:
         counted.unpersist()
+
+
+def plan_counts(counted: DataFrame, keys: list[str], one_in: int = 1, bins: int | None = None, slots_a_bin: int = SLOTS_A_BIN) -> LoadPlan:
+    """The plan for keys whose rows, one in so many, are counted in column n. There are as many bins as tasks of
+    ROWS_A_BIN rows are needed, and no fewer than the session's shuffle partitions."""
+    spark = counted.sparkSession
+    if bins is None:
+        rows = (counted.agg(F.sum("n")).first()[0] or 0) * one_in
+        bins = min(MAX_BINS, max(partitions(spark), -(-rows // ROWS_A_BIN)))
+    slots = bins * slots_a_bin
+    slot = F.pmod(F.xxhash64(*keys), F.lit(slots)).cast("int")
+    counted = counted.withColumn("_slot", slot)
+    sums = [0] * slots
+    for r in counted.groupBy("_slot").agg(F.sum("n").alias("n")).collect():
+        sums[r["_slot"]] = r["n"]
+    most = max(1.0, sum(sums) * SHARE / bins)
+    large = counted.where(F.col("n") > most).orderBy(F.desc("n"), *keys).limit(int(bins / SHARE) + 1).collect()
     units: list[tuple[float, int]] = []
     rows, lead = [], slots
     for r in large:
@@ -68,7 +81,7 @@ def plan_loads(df: DataFrame, keys: list[str], sample_on: list[str] | None = Non
         at, b = heapq.heappop(heap)
         bin_of[unit] = b
         heapq.heappush(heap, (at + max(load, 1e-3), b))
-    schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_lead", T.IntegerType()), T.StructField("_shards", T.IntegerType())])
+    schema = T.StructType([counted.schema[k] for k in keys] + [T.StructField("_lead", T.IntegerType()), T.StructField("_shards", T.IntegerType())])
     for f in schema.fields:
         f.nullable = True
     loads = [0.0] * bins
@@ -151,9 +164,15 @@ def node_loads(edges: DataFrame, one_in: int = 16, bins: int | None = None) -> D
         ).alias("e"),
     ).select("ord", "seen_at", "e.*")
     both = both.where(F.col("node").isNotNull())
-    plan = plan_loads(both.select("side", "node", "ord"), ["side", "node"], ["ord"], one_in, bins)
-    # pairs above a task's share of their own are cut by ord instead; there are at most 2 a bin of them
-    pairs = plan_loads(both.select("side", "node", "other", "ord"), ["side", "node", "other"], ["ord"], one_in, bins)
+    # one sample gives both plans: of nodes, and of pairs; pairs above a task's share of their own are cut by ord instead of
+    # by the counterpart, and there are at most 2 a bin of them
+    picked = both.where(F.pmod(F.xxhash64("ord"), F.lit(one_in)) == 0)
+    sample = picked.groupBy("side", "node", "other").agg(F.count(F.lit(1)).alias("n")).persist()
+    try:
+        plan = plan_counts(sample.groupBy("side", "node").agg(F.sum("n").alias("n")), ["side", "node"], one_in, bins)
+        pairs = plan_counts(sample, ["side", "node", "other"], one_in, plan.bins)
+    finally:
+        sample.unpersist()
     hot = F.col("_lead").isNotNull()
     cut = _with_heavy(both, pairs).withColumn("hot", hot).withColumn("_cut", F.when(hot, F.xxhash64("ord")).otherwise(F.xxhash64("other"))).drop("_lead", "_shards")
     cut = fragment(cut, plan, ["_cut"])
