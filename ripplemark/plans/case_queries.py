@@ -11,7 +11,7 @@ from ripplemark.operators.changes import changed_symbols
 from ripplemark.operators.ranking import first_k
 from ripplemark.plans import bindings as B
 from ripplemark.plans.bindings import CH, E, S, V
-from ripplemark.plans.graph_queries import _ONE_HOP, _ROOTS, Two, _folder, _roots
+from ripplemark.plans.graph_queries import _REACH, _ROOTS, Two, _folder, _roots
 from ripplemark.runtime import Staged
 from ripplemark.sources.settings import Settings
 from ripplemark.sources.tables import table
@@ -45,11 +45,10 @@ def risk_rules(spark: SparkSession, d: str) -> DataFrame:
     return K.risk_rows(_delta(B.last_two(spark, d)))
 
 
-#: The walk of the engine; the queries without this ending go one hop, as their SQL does.
 HOPS = Settings.max_hop
 
 
-def _reach(spark: SparkSession, d: str, two: Two, hops: int = 1) -> DataFrame:
+def _reach(spark: SparkSession, d: str, two: Two, hops: int = HOPS) -> DataFrame:
     return G.reach(B.edges(spark, d), _roots(spark, d, two), hops)[0]
 
 
@@ -57,47 +56,38 @@ def _cases(nodes: DataFrame, two: Two) -> DataFrame:
     return K.generate(nodes, K.risk_rows(_delta(two)), F.col("node").startswith("file:"))
 
 
-def _plain_cases(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+def _plain_cases(spark: SparkSession, d: str, hops: int = HOPS) -> DataFrame:
     two = _two(spark, d)
     return _cases(_reach(spark, d, two, hops), two)
 
 
-def case_generation(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+def case_generation(spark: SparkSession, d: str, hops: int = HOPS) -> DataFrame:
     return _plain_cases(spark, d, hops).select("node", "hop", "risk_group", "sub_reason", F.size("roots").alias("n_roots"), F.element_at("roots", 1).alias("first_root"))
 
 
-def case_generation_whole(spark: SparkSession, d: str) -> DataFrame:
-    return case_generation(spark, d, HOPS)
 
-
-def case_priority(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+def case_priority(spark: SparkSession, d: str, hops: int = HOPS) -> DataFrame:
     c = _plain_cases(spark, d, hops)
     return c.groupBy(K.priority(F.col("hop"), F.col("risk_group"), F.col("sub_reason")).alias("priority"), "hop", "risk_group").agg(F.count(F.lit(1)).alias("cases"))
 
 
-def case_priority_whole(spark: SparkSession, d: str) -> DataFrame:
-    return case_priority(spark, d, HOPS)
-
 
 def _weights(two: Two) -> DataFrame:
     return changed_symbols(*two).select(F.col("usr").alias("root"), "lines")
 
 
-def case_features(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+def case_features(spark: SparkSession, d: str, hops: int = HOPS) -> DataFrame:
     two = _two(spark, d)
     return K.features(_reach(spark, d, two, hops), _weights(two))
 
 
-def case_features_whole(spark: SparkSession, d: str) -> DataFrame:
-    return case_features(spark, d, HOPS)
-
 
 def _fixes(spark: SparkSession, d: str) -> DataFrame:
     """How often something was removed from a file: the stand-in for fix history."""
     return table(spark, d, "symbol").where("removed_at is not null and file is not null").select("id", "file", "removed_at").distinct().groupBy("file").agg(F.count(F.lit(1)).alias("fixes"))
 
 
-def _ranked(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+def _ranked(spark: SparkSession, d: str, hops: int = HOPS) -> DataFrame:
     s = B.symbols(spark, d).select(F.col("id").alias("node"), "name", "file", "line")
     two = _two(spark, d)
     nodes = Staged(_reach(spark, d, two, hops), "reach").df  # read by both the cases and their features
@@ -105,21 +95,15 @@ def _ranked(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
     return K.rank(c.withColumn("fan_in", F.coalesce("fan_in", F.lit(0))))
 
 
-def case_ranking(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+def case_ranking(spark: SparkSession, d: str, hops: int = HOPS) -> DataFrame:
     return _ranked(spark, d, hops).select("id", "priority", "node", "hop", "risk_group", "sub_reason")
 
 
-def case_ranking_whole(spark: SparkSession, d: str) -> DataFrame:
-    return case_ranking(spark, d, HOPS)
 
-
-def case_keys(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+def case_keys(spark: SparkSession, d: str, hops: int = HOPS) -> DataFrame:
     return K.keys(_ranked(spark, d, hops)).select("rank", "key")
 
 
-def case_keys_whole(spark: SparkSession, d: str) -> DataFrame:
-    return case_keys(spark, d, HOPS)
-
 
 def topk_per_group(spark: SparkSession, d: str) -> DataFrame:
     """The first three places of each symbol kind and folder."""
@@ -177,7 +161,6 @@ def uncertainty_flags(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        case_generation_whole, case_priority_whole, case_features_whole, case_ranking_whole, case_keys_whole,
         risk_rules, case_generation, case_priority, case_features, case_ranking, case_keys, topk_per_group, merge_cases, evidence_gate, target_scope, scope_filter, reader_proximity, uncertainty_flags,
     )
 }
@@ -193,11 +176,12 @@ k0 as (select root, g risk_group, u sub_reason from dt join rules on token = t w
   union select root, 'abi_layout', 'signature_change' from dl where removed or (not added and o.decl_tokens is distinct from n.decl_tokens)
   union select root, 'exception_safety', 'noexcept_change' from dl where not added and not removed and o.noexcept_spec is distinct from n.noexcept_spec),
 k as (select * from k0 union all select root, 'logic', '' from dl where root not in (select root from k0))"""
-_CASES = f"""with {E}, {S}, {V}, {CH}, {_ROOTS}, {_ONE_HOP}, {_RISKS},
-nd as (select distinct root, node, hop from h1),
+_CASES = f"""with {E}, {S}, {V}, {CH}, {_ROOTS}, {_REACH}, {_RISKS},
+nd as (select distinct root, node, hop from arrive),
 far as (select node, risk_group, sub_reason, nd.root, nd.hop, starts_with(node, 'file:') fl from nd join k on k.root = nd.root),
 kept as (select * from far where not fl or risk_group in {_Q(K.FILE_GROUPS)}),
-allf as (select * from kept union all select node, 'abi_layout', '', root, hop, fl from far where fl and node not in (select node from kept where fl)),
+alla as (select * from kept union all select node, 'abi_layout', '', root, hop, fl from far where fl and node not in (select node from kept where fl)),
+allf as (select * from alla qualify hop = min(hop) over (partition by node, risk_group)),
 c as (select root node, 0 hop, risk_group, sub_reason, [root] roots from k union all
   select node, min(hop), risk_group, min(sub_reason), list(distinct root order by root) from allf group by node, risk_group)"""
 _LOW = f"(sub_reason in {_Q(K.LOW_SUBS)} or (hop > 0 and sub_reason in {_Q(K.IMPACT_LOW_SUBS)}))"

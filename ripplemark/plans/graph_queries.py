@@ -39,26 +39,16 @@ def impact_bfs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impact_deep(spark: SparkSession, d: str) -> DataFrame:
-    """Reach by hop count up to 4 hops from what was added or removed."""
-    r = changed(spark, d).where("change_kind = 'added'").select(F.col("usr").alias("root"))
-    nodes, _ = G.reach(B.edges(spark, d).where("relation in ('instantiate', 'inherit_override')"), r, 4)
-    return nodes.groupBy("hop").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("node").alias("nodes"))
-
-
-def impact_deep_whole(spark: SparkSession, d: str) -> DataFrame:
     """Reach by hop count up to 4 hops over all edges from all changed symbols."""
     nodes, _ = G.reach(B.edges(spark, d), changed(spark, d).select(F.col("usr").alias("root")), 4)
     return nodes.groupBy("hop").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("node").alias("nodes"))
 
 
-def reach_edges_topk(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+def reach_edges_topk(spark: SparkSession, d: str, hops: int = Settings.max_hop) -> DataFrame:
     _, found = G.reach(B.edges(spark, d), _roots(spark, d), hops)
     return G.reach_edges(found).select("root", "node", "ord", "relation")
 
 
-def reach_edges_topk_whole(spark: SparkSession, d: str) -> DataFrame:
-    return reach_edges_topk(spark, d, Settings.max_hop)
-
 
 def edges_resolved(spark: SparkSession, d: str) -> DataFrame:
     return G.edges_resolved(B.edges(spark, d), B.symbols(spark, d)).groupBy("relation").agg(F.count(F.lit(1)).alias("edges"))
@@ -78,21 +68,17 @@ def override_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def target_dependents(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of folders of which one needs the other over any distance."""
+    """Pairs of folders of which one needs the other over any distance, by any relation."""
     return G.closure(_folder_deps(spark, d), "target", "needs")
 
 
-def target_dependents_whole(spark: SparkSession, d: str) -> DataFrame:
-    return G.closure(_folder_deps(spark, d, "true"), "target", "needs")
-
-
 def _folder(c: str) -> F.Column:
     return F.regexp_extract(c, r"^([^/]+/[^/]+)/", 1)
 
 
-def _folder_deps(spark: SparkSession, d: str, where: str = "relation = 'instantiate'") -> DataFrame:
+def _folder_deps(spark: SparkSession, d: str) -> DataFrame:
     s = B.symbols(spark, d).select("id", _folder("file").alias("t")).where("t <> ''")
-    e = B.edges(spark, d).where(where)
+    e = B.edges(spark, d)
     return (
         e.join(s.select(F.col("id").alias("dependent"), F.col("t").alias("target")), "dependent")
         .join(s.select(F.col("id").alias("dependency"), F.col("t").alias("needs")), "dependency")
@@ -101,14 +87,9 @@ def _folder_deps(spark: SparkSession, d: str, where: str = "relation = 'instanti
 
 
 def affected_targets(spark: SparkSession, d: str) -> DataFrame:
-    touched = changed(spark, d).where("change_kind = 'removed'").select(_folder("file").alias("target")).where("target <> ''")
-    return G.affected_targets(touched, _folder_deps(spark, d))
-
-
-def affected_targets_whole(spark: SparkSession, d: str) -> DataFrame:
     """Folders that any change touches, and all that need them by any relation."""
     touched = changed(spark, d).select(_folder("file").alias("target")).where("target <> ''")
-    return G.affected_targets(touched, _folder_deps(spark, d, "true"))
+    return G.affected_targets(touched, _folder_deps(spark, d))
 
 
 def file_targets(spark: SparkSession, d: str) -> DataFrame:
@@ -138,12 +119,6 @@ def resolve_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
-    calls = B.edges(spark, d).where("relation = 'instantiate' and dependency is not null and dependent is not null").select(F.col("dependency").alias("callee"), F.col("dependent").alias("caller")).distinct()
-    starts = changed(spark, d).select(F.col("usr").alias("start"))
-    return G.entry_points(calls, starts, 2).select("start", F.array_join("entries", " ").alias("entries"), "more")
-
-
-def entry_points_whole(spark: SparkSession, d: str) -> DataFrame:
     return G.entry_points(G.callers(B.edges(spark, d)), changed(spark, d).select(F.col("usr").alias("start"))).select("start", F.array_join("entries", " ").alias("entries"), "more")
 
 
@@ -163,27 +138,21 @@ def include_resolve(spark: SparkSession, d: str) -> DataFrame:
     return G.resolve_includes(e, files)
 
 
-def test_gaps(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+def test_gaps(spark: SparkSession, d: str, hops: int = Settings.max_hop) -> DataFrame:
     """Changed symbols that nothing in a monitor or guard file reaches within so many hops."""
     roots = changed(spark, d).select(F.col("usr").alias("root"))
     _, found = G.reach(B.edges(spark, d), roots, hops)
     return G.test_gaps(roots, found, F.coalesce(F.col("file").rlike(r"(^|/)[a-z]+_(monitor|guard)_"), F.lit(False)))
 
 
-def test_gaps_whole(spark: SparkSession, d: str) -> DataFrame:
-    return test_gaps(spark, d, Settings.max_hop)
 
-
-def split_units(spark: SparkSession, d: str, hops: int = 1) -> DataFrame:
+def split_units(spark: SparkSession, d: str, hops: int = Settings.max_hop) -> DataFrame:
     """Reach by unit: the folder of the root carried through the walk."""
     c = changed(spark, d)
     nodes, _ = G.reach(B.edges(spark, d), c.select(F.col("usr").alias("root")), hops)
     return nodes.join(c.select(F.col("usr").alias("root"), _folder("file").alias("unit")), "root").groupBy("unit").agg(F.countDistinct("node").alias("nodes"), F.max("hop").alias("hop"))
 
 
-def split_units_whole(spark: SparkSession, d: str) -> DataFrame:
-    return split_units(spark, d, Settings.max_hop)
-
 
 def innermost_range(spark: SparkSession, d: str) -> DataFrame:
     """The function around the place of each macro use."""
@@ -261,7 +230,6 @@ def szz_vote(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        impact_deep_whole, target_dependents_whole, affected_targets_whole, entry_points_whole, reach_edges_topk_whole, test_gaps_whole, split_units_whole,
         changed_symbols, traverse_limits, impact_bfs, impact_deep, reach_edges_topk, edges_resolved, callers, override_pairs, target_dependents, affected_targets, file_targets,
         overlay_unknown, overlay_kept, choose_def, resolve_symbols, entry_points, downstream_edges, include_resolve, test_gaps, split_units, innermost_range, residual_lines,
         residual_functions, changed_calls, function_body, qualify_names, facts_merge, token_delta, new_values, fix_history, szz_vote,
@@ -270,24 +238,34 @@ QUERIES = {
 
 _ROOTS = "r as (select usr root, case when kind in ('class', 'struct', 'union') and usr in (select o.usr from o join n on o.usr = n.usr where o.bases = n.bases and o.decl_tokens = n.decl_tokens) then ['inherit_override', 'include'] end lim from ch)"
 _ONE_HOP = "h1 as (select r.root, e.dependent node, 1 hop, e.ord, e.relation, e.file, e.line from r join e on e.dependency = r.root where e.dependent is not null and e.dependent not in (select root from r) and (r.lim is null or list_contains(r.lim, e.relation)))"
-_TWO_HOP = """h2 as (select h.root, e.dependent node, 2 hop from (select distinct root, node from h1 where relation <> 'called_by_change') h join e on e.dependency = h.node
-  where e.dependent is not null and e.relation not in ('contains', 'uses_type') and e.dependent not in (select root from r) and not exists (select 1 from h1 x where x.root = h.root and x.node = e.dependent)),
-reach as (select root, root node, 0 hop from r union select root, node, 1 from h1 union select root, node, 2 from h2)"""
+_STEP = """h{k} as (select h.root, e.dependent node, {k} hop, e.ord, e.relation, e.file, e.line from (select distinct root, node from h{p} where relation <> 'called_by_change') h join e on e.dependency = h.node
+  where e.dependent is not null and e.relation not in ('contains', 'uses_type') and e.dependent not in (select root from r) and not exists (select 1 from ({seen}) x where x.root = h.root and x.node = e.dependent))"""
+
+
+def _walk(hops: int) -> str:
+    """The walk of the engine: h1, h2, ... are the edges that arrive at a node at its least hop, arrive all of them."""
+    steps = [_ONE_HOP]
+    for k in range(2, hops + 1):
+        steps.append(_STEP.format(k=k, p=k - 1, seen=" union all ".join(f"select root, node from h{i}" for i in range(1, k))))
+    return ", ".join(steps) + ", arrive as (" + " union all ".join(f"select * from h{k}" for k in range(1, hops + 1)) + "), reach as (select root, root node, 0 hop from r union select root, node, hop from arrive)"
+
+
+_REACH = _walk(Settings.max_hop)
+_ANY_ROOT = "r as (select usr root, null::varchar[] lim from ch)"
 _FOLDER = "regexp_extract({}, '^([^/]+/[^/]+)/', 1)"
 _FDEPS = f"""fd as (select distinct a.t target, b.t needs from e join (select id, {_FOLDER.format('file')} t from s) a on a.id = e.dependent join (select id, {_FOLDER.format('file')} t from s) b on b.id = e.dependency
-  where e.relation = 'instantiate' and a.t <> '' and b.t <> '' and a.t <> b.t)"""
-_ALL = f"with {E}, {V}, {CH}, {_ROOTS}, {_ONE_HOP}"
+  where a.t <> '' and b.t <> '' and a.t <> b.t)"""
+_ALL = f"with {E}, {V}, {CH}, {_ROOTS}, {_REACH}"
+_UNLIMITED = f"with {E}, {V}, {CH}, {_ANY_ROOT}, {_REACH}"
 _PRE = f"with {E}, {S}"
 _INNER = "select p.{k}, (select x.usr from {x} x where x.file = p.file and p.line between x.start_line and x.end_line order by x.end_line - x.start_line, x.usr limit 1) usr from {p} p"
 
 ORACLE = {
     "changed_symbols": f"with {V}, {CH} select usr, file, kind, change_kind, cast(lines as bigint) lines from ch",
     "traverse_limits": f"with {V}, {CH}, {_ROOTS} select root, array_to_string(lim, ',') relations from r",
-    "impact_bfs": f"{_ALL}, {_TWO_HOP} select node, min(hop) hop, count(*) roots, min(root) first_root from reach group by node",
-    "impact_deep": f"""with recursive {E}, {V}, {CH}, r as (select usr root from ch where change_kind = 'added'), x as (select * from e where relation in ('instantiate', 'inherit_override') and dependent is not null),
-      w(root, node, hop) as (select root, root, 0 from r union select w.root, x.dependent, w.hop + 1 from w join x on x.dependency = w.node where w.hop < 4 and x.dependent not in (select root from r)),
-      m as (select root, node, min(hop) hop from w group by root, node) select hop, count(*) pairs, count(distinct node) nodes from m group by hop""",
-    "reach_edges_topk": f"""{_ALL}, a as (select *, row_number() over (partition by root, node order by ord) x from h1), b as (select *, row_number() over (partition by node order by ord, root) y from a where x <= 6)
+    "impact_bfs": f"{_ALL} select node, min(hop) hop, count(*) roots, min(root) first_root from reach group by node",
+    "impact_deep": f"with {E}, {V}, {CH}, {_ANY_ROOT}, {_walk(4)} select hop, count(*) pairs, count(distinct node) nodes from reach group by hop",
+    "reach_edges_topk": f"""{_ALL}, a as (select *, row_number() over (partition by root, node order by ord) x from arrive), b as (select *, row_number() over (partition by node order by ord, root) y from a where x <= 6)
       select root, node, ord, relation from b where y <= 12""",
     "edges_resolved": f"{_PRE} select relation, count(*) edges from e where dependent in (select id from s) and dependency in (select id from s) group by relation",
     "callers": f"with {E} select dependency callee, count(distinct dependent) callers from e where relation = 'call' and dependency is not null and dependent is not null group by 1",
@@ -299,7 +277,7 @@ ORACLE = {
       select x "method", string_agg(distinct y, ' ' order by y) overrides from (select x, y from o union select y, x from o) group by x""",
     "target_dependents": f"with recursive {E}, {S}, {_FDEPS}, c(target, needs) as (select * from fd union select c.target, fd.needs from c join fd on c.needs = fd.target) select * from c",
     "affected_targets": f"""with recursive {E}, {S}, {V}, {CH}, {_FDEPS}, c(target, needs) as (select * from fd union select c.target, fd.needs from c join fd on c.needs = fd.target),
-      t as (select distinct {_FOLDER.format('file')} target from ch where change_kind = 'removed' and {_FOLDER.format('file')} <> '')
+      t as (select distinct {_FOLDER.format('file')} target from ch where {_FOLDER.format('file')} <> '')
       select target, null::varchar via from t union all select target, min(needs) from c where needs in (select target from t) and target not in (select target from t) group by target""",
     "file_targets": f"""with {E}, i as (select distinct dependency path, dependent b from e where relation = 'include' and dependency like 'file:%' and dependent like 'file:%'),
       x as (select path, path q from i union select b, b from i union select path, b from i) select distinct path, regexp_extract(q, '^file:([^/]+/[^/]+)/', 1) target from x where regexp_extract(q, '^file:([^/]+/[^/]+)/', 1) <> ''""",
@@ -314,19 +292,22 @@ ORACLE = {
       select ref, min(tier) tier, count(*) n, min(id) id from c where tier > 0 or rn = 1 group by ref""",
     "resolve_symbols": f"""with {S}, {V}, {CH}, w as (select spelling want from core_symbol union select name from ch), x as (select want, id from w join s on s.name = want)
       select * from x union all select want, s.id from (select * from w where want is not null and want not in (select want from x)) w left join s on ends_with(s.name, '::' || want)""",
-    "entry_points": f"""with {E}, {V}, {CH}, c as (select distinct dependency callee, dependent caller from e where relation = 'instantiate' and dependency is not null and dependent is not null),
-      l0 as (select usr start, usr node from ch), l1 as (select distinct start, caller node, node f from l0 join c on callee = node where caller <> start),
-      l2 as (select distinct l1.start, caller node, l1.node f from l1 join c on callee = l1.node where caller <> l1.start and not exists (select 1 from l1 y where y.start = l1.start and y.node = c.caller)),
-      ends as (select start, node from l1 x where not exists (select 1 from l2 where l2.start = x.start and l2.f = x.node) union select start, node from l2),
+    "entry_points": f"""with {E}, {V}, {CH}, c as (select distinct dependency callee, dependent caller from e where relation = 'call' and dependency is not null and dependent is not null),
+      l0 as (select usr start, usr node from ch),
+      l1 as (select distinct start, node f, caller node from l0 join c on callee = node where caller <> start),
+      s1 as (select start, node from l0 union select start, node from l1),
+      l2 as (select distinct l1.start, l1.node f, caller node from (select distinct start, node from l1) l1 join c on callee = l1.node where (l1.start, caller) not in (select start, node from s1)),
+      s2 as (select start, node from s1 union select start, node from l2),
+      l3 as (select distinct l2.start, l2.node f, caller node from (select distinct start, node from l2) l2 join c on callee = l2.node where (l2.start, caller) not in (select start, node from s2)),
+      ends as (select start, node from l1 where (start, node) not in (select start, f from l2) union select start, node from l2 where (start, node) not in (select start, f from l3) union select start, node from l3),
       g as (select start, list(node order by node) ns from ends group by start) select start, array_to_string(ns[1:5], ' ') entries, cast(greatest(len(ns) - 5, 0) as integer) more from g""",
     "downstream_edges": f"""with {E}, {V}, {CH}, k as (select dependent root, dependency callee, min(line) line from e where relation = 'call' and dependency is not null and line is not null and dependent <> dependency
         and file in (select file from ch where change_kind <> 'removed') group by 1, 2), x as (select *, row_number() over (partition by root order by line, callee) rn from k) select root, callee, line from x where rn <= 8""",
     "include_resolve": f"""{_PRE}, w as (select distinct file, regexp_extract(dependency, '([^/:]+/[^/]+)$', 1) wanted from e where relation = 'include' and dependency like 'file:%' and file is not null and regexp_extract(dependency, '([^/:]+/[^/]+)$', 1) <> ''),
       f as (select distinct file path from s where file is not null), j as (select w.file, wanted, path, row_number() over (partition by w.file, wanted order by (regexp_replace(w.file, '[^/]*$', '') <> regexp_replace(path, '[^/]*$', ''))::int, length(path), path) rn
       from w join f on path = wanted or ends_with(path, '/' || wanted)) select file, wanted, path found from j where rn = 1""",
-    "test_gaps": f"""with {E}, {V}, {CH} select usr root from ch where usr not in (select c.usr from ch c join e on e.dependency = c.usr where e.dependent is not null and e.dependent not in (select usr from ch) and regexp_matches(coalesce(e.file, ''), '(^|/)[a-z]+_(monitor|guard)_'))""",
-    "split_units": f"""with {E}, {V}, {CH}, x as (select c.usr root, c.usr node, 0 hop, c.file from ch c union select c.usr, e.dependent, 1, c.file from ch c join e on e.dependency = c.usr where e.dependent is not null and e.dependent not in (select usr from ch))
-      select {_FOLDER.format('file')} unit, count(distinct node) nodes, max(hop) hop from x group by 1""",
+    "test_gaps": f"""{_UNLIMITED} select root from r where root not in (select root from arrive where regexp_matches(coalesce(file, ''), '(^|/)[a-z]+_(monitor|guard)_'))""",
+    "split_units": f"""{_UNLIMITED} select {_FOLDER.format('ch.file')} unit, count(distinct node) nodes, max(hop) hop from reach join ch on ch.usr = root group by 1""",
     "innermost_range": f"""{_PRE}, p as (select ord, file, line from e where relation = 'macro_expand' and file is not null and line is not null), x as (select file, id usr, line start_line, end_line from s where kind in ('function', 'method') and end_line is not null),
       i as ({_INNER.format(k='ord, p.file', x='x', p='p')}) select ord, coalesce(usr, 'file:' || file) usr from i""",
     "residual_lines": f"""{_PRE} select ord, file, line from e where file is not null and line is not null and not exists (select 1 from s where s.file = e.file and s.kind <> 'file' and e.line between s.line and s.end_line)""",

@@ -29,27 +29,27 @@ def test_cases_at_two_hops(spark):
     _, _, hops, used = walk(spark, 2, limits=True)
     nodes = {n for _, n in hops}
     assert 2 in hops.values()
-    got = Q["case_features_whole"](spark, DATA).select("node", "fan_in").collect()
+    got = Q["case_features"](spark, DATA).select("node", "fan_in").collect()
     assert {n: k for n, k in got} == {n: len({r for r, x in hops if x == n}) for n in nodes}
-    cases = rows(spark, "case_generation_whole")
+    cases = rows(spark, "case_generation")
     assert {c[1] for c in cases} == {0, 1, 2}
     least = lambda pairs: {n: min(h for x, h in pairs if x == n) for n in {x for x, _ in pairs if not x.startswith("file:")}}
     assert least([(c[0], c[1]) for c in cases]) == least([(n, h) for (_, n), h in hops.items()])
-    assert len(rows(spark, "case_ranking_whole")) == len(rows(spark, "case_keys_whole")) == len(cases) == sum(r[-1] for r in rows(spark, "case_priority_whole"))
-    assert {(r, n, o) for r, n, o, _ in rows(spark, "reach_edges_topk_whole")} <= used
+    assert len(rows(spark, "case_ranking")) == len(rows(spark, "case_keys")) == len(cases) == sum(r[-1] for r in rows(spark, "case_priority"))
+    assert {(r, n, o) for r, n, o, _ in rows(spark, "reach_edges_topk")} <= used
 
 
 @needs_data
 def test_gaps_and_units_at_two_hops(spark):
     edges, roots, hops, used = walk(spark, 2)
     tests = {e[0] for e in edges if e[4] and any(e[4].split("/")[-1].split("_")[1:2] == [x] for x in ("monitor", "guard"))}
-    assert {r for (r,) in rows(spark, "test_gaps_whole")} == set(roots) - {r for r, _, o in used if o in tests}
+    assert {r for (r,) in rows(spark, "test_gaps")} == set(roots) - {r for r, _, o in used if o in tests}
     unit = {r["usr"]: r["u"] for r in Q["changed_symbols"](spark, DATA).select("usr", F.regexp_extract("file", "^([^/]+/[^/]+)/", 1).alias("u")).collect()}
     want = {}
     for (r, n), h in hops.items():
         ns, top = want.get(unit[r], (set(), 0))
         want[unit[r]] = (ns | {n}, max(top, h))
-    assert {u: (n, h) for u, n, h in rows(spark, "split_units_whole")} == {u: (len(ns), h) for u, (ns, h) in want.items()}
+    assert {u: (n, h) for u, n, h in rows(spark, "split_units")} == {u: (len(ns), h) for u, (ns, h) in want.items()}
 
 
 @needs_data
@@ -58,16 +58,16 @@ def test_deep_reach_over_all_edges(spark):
     want = {}
     for (_, n), h in hops.items():
         want.setdefault(h, []).append(n)
-    assert {(h, p, n) for h, p, n in rows(spark, "impact_deep_whole")} == {(h, len(ns), len(set(ns))) for h, ns in want.items()}
+    assert {(h, p, n) for h, p, n in rows(spark, "impact_deep")} == {(h, len(ns), len(set(ns))) for h, ns in want.items()}
 
 
 @needs_data
 def test_folders_and_entry_points_over_all_relations(spark):
-    some, all_ = set(rows(spark, "target_dependents")), set(rows(spark, "target_dependents_whole"))
+    some, all_ = set(rows(spark, "target_dependents")), set(rows(spark, "target_dependents"))
     assert some < all_
     touched = {r["t"] for r in Q["changed_symbols"](spark, DATA).select(F.regexp_extract("file", "^([^/]+/[^/]+)/", 1).alias("t")).collect() if r["t"]}
     want = {(t, None) for t in touched} | {(a, min(n for x, n in all_ if x == a and n in touched)) for a, b in all_ if b in touched and a not in touched}
-    assert set(rows(spark, "affected_targets_whole")) == want
+    assert set(rows(spark, "affected_targets")) == want
     calls = {(r["callee"], r["caller"]) for r in B.edges(spark, DATA).where("relation = 'call' and dependency is not null and dependent is not null").selectExpr("dependency callee", "dependent caller").collect()}
     starts = {r["usr"] for r in Q["changed_symbols"](spark, DATA).collect()}
-    assert {r[0] for r in rows(spark, "entry_points_whole")} == {s for s in starts if any(a == s and b != s for a, b in calls)}
+    assert {r[0] for r in rows(spark, "entry_points")} == {s for s in starts if any(a == s and b != s for a, b in calls)}
