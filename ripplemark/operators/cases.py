@@ -16,37 +16,6 @@ LOW_SUBS = ["header_change", "inline_change", "logging", "test_code"]
 IMPACT_LOW_SUBS = ["signature_change"]
 READER_SUBS = ["removed_write", "setter_readers", "lock_coupling", "changed_default", "class_consumer", "conditional_write"]
 
-# Tokens whose coming or going marks a risk, by (group, reason).
-TOKEN_RISKS = {
-    ("ownership_lifetime", "raw_pointer"): ["new", "delete", "malloc", "calloc", "realloc", "free", "nullptr", "NULL", "unique_ptr", "shared_ptr", "weak_ptr", "make_unique", "make_shared", "release", "auto_ptr"],
-    ("ownership_lifetime", "move_semantics"): ["move", "forward"],
-    ("thread_safety", "mutex"): ["mutex", "recursive_mutex", "shared_mutex", "lock_guard", "unique_lock", "scoped_lock", "shared_lock", "condition_variable", "lock", "unlock", "try_lock", "notify_one", "notify_all", "wait", "wait_for", "wait_until", "call_once", "thread", "async", "future", "promise", "detach", "join"],
-    ("thread_safety", "atomic"): ["atomic", "atomic_flag", "memory_order", "volatile", "fetch_add", "fetch_sub", "exchange", "load", "store", "thread_local"],
-    ("exception_safety", "throw_added"): ["throw", "try", "catch", "noexcept", "rethrow_exception", "current_exception", "exception_ptr", "terminate"],
-    ("build_config", "debug_release"): ["NDEBUG", "_DEBUG", "DEBUG", "assert", "static_assert"],
-    ("logic", ""): ["if", "else", "switch", "case", "default", "return", "for", "while", "do", "break", "continue", "goto", "==", "!=", "<", ">", "<=", ">=", "&&", "||", "!", "?", ":", "+", "-", "*", "/", "%", "++", "--", "+=", "-=", "<<", ">>", "&", "|", "^", "~", "true", "false"],
-}
-
-
-def risk_rows(delta: DataFrame) -> DataFrame:
-    """(root, risk_group, sub_reason): every row is one reason a change is risky; '' stands for no reason in particular.
-
-    delta: root, change_kind, tokens (all that came or went), decl_changed, bases_changed, virtual_changed,
-    noexcept_changed. Rules add up, each (group, reason) once; a root no rule matches is a logic change."""
-    spark = delta.sparkSession
-    rules = spark.createDataFrame([(t, g, s) for (g, s), ts in TOKEN_RISKS.items() for t in ts], "token string, risk_group string, sub_reason string")
-    by_token = delta.select("root", F.explode("tokens").alias("token")).distinct().join(F.broadcast(rules), "token").select("root", "risk_group", "sub_reason")
-    shape = [
-        (F.col("bases_changed") | F.col("virtual_changed"), "abi_layout", "member_change"),
-        (F.col("decl_changed") | (F.col("change_kind") == "removed"), "abi_layout", "signature_change"),
-        (F.col("noexcept_changed"), "exception_safety", "noexcept_change"),
-    ]
-    rows = F.array(*[F.when(c, F.struct(F.lit(g).alias("g"), F.lit(s).alias("s"))) for c, g, s in shape])
-    by_shape = delta.select("root", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("root", F.col("r.g").alias("risk_group"), F.col("r.s").alias("sub_reason"))
-    found = by_token.unionByName(by_shape).distinct()
-    rest = delta.select("root").distinct().join(found.select("root").distinct(), "root", "left_anti")
-    return found.unionByName(rest.select("root", F.lit("logic").alias("risk_group"), F.lit("").alias("sub_reason")))
-
 
 def generate(nodes: DataFrame, risks: DataFrame, is_file: Column) -> DataFrame:
     """(node, hop, risk_group, sub_reason, roots): one case for each risk of a root itself; for a reached node one for

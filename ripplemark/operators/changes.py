@@ -68,14 +68,24 @@ def merge_facts(facts: DataFrame, key: str, first: list[str], declared_in: str)
     return g.select(key, *[F.col(f"m.c_{c}").alias(c) for c in cols], F.filter("files", lambda f: ~f.eqNullSafe(chosen)).alias("decl_files"))
 
 
+def _numbered(x: Column) -> Column:
+    """The elements sorted, each with how many equal ones stand before it, so that bags become sets."""
+    s = F.array_sort(x)
+    return F.transform(s, lambda t, i: F.struct(t.alias("t"), (i - F.array_position(s, t)).alias("k")))
+
+
 def bag_delta(old: Column, new: Column) -> tuple[Column, Column]:
     """(added, removed) elements of two arrays as bags, sorted: what remains of one when the other's are taken out."""
+    a, b = _numbered(old), _numbered(new)
+    rest = lambda x, y: F.array_sort(F.transform(F.array_except(x, y), lambda s: s["t"]))
+    return rest(b, a), rest(a, b)
 
-    def counts(x: Column, y: Column) -> Column:
-        extra = F.transform(F.array_distinct(x), lambda t: F.array_repeat(t, F.greatest(F.size(F.filter(x, lambda a: a == t)) - F.size(F.filter(y, lambda a: a == t)), F.lit(0))))
-        return F.array_sort(F.flatten(extra))
 
-    return counts(new, old), counts(old, new)
+def changed_tokens(old: Column, new: Column) -> Column:
+    """The elements that one list has more often than the other; a null list is an empty one."""
+    empty = F.expr("cast(array() as array<string>)")
+    added, removed = bag_delta(F.coalesce(old, empty), F.coalesce(new, empty))
+    return F.array_union(added, removed)
 
 
 def fix_counts(commits: DataFrame, until: Column, days: int = 360, subject: str = r"(?i)\b(fix(e[sd])?|bug|regression|crash)\b") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ripplemark.operators import cases as K
 from ripplemark.operators import graph as G
+from ripplemark.operators import rules as R
 from ripplemark.operators.changes import changed_symbols
 from ripplemark.operators.ranking import first_k
 from ripplemark.plans import bindings as B
@@ -23,26 +24,46 @@ def _two(spark: SparkSession, d: str) -> Two:
     return Staged(old, "old").df, Staged(new, "new").df
 
 
-def _delta(two: Two) -> DataFrame:
-    o, n = (x.alias(a) for x, a in zip(two, "on"))
-    differ = lambda c: ~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))
-    empty = F.expr("cast(array() as array<string>)")
-    a, b = F.coalesce(F.col("o.tokens"), empty), F.coalesce(F.col("n.tokens"), empty)
-    both = F.col("o.usr").isNotNull() & F.col("n.usr").isNotNull()
-    j = o.join(n, F.col("o.usr") == F.col("n.usr"), "full").where(~both | differ("tokens") | differ("decl_tokens"))
-    return j.select(
-        F.coalesce("n.usr", "o.usr").alias("root"),
-        F.when(F.col("o.usr").isNull(), "added").when(F.col("n.usr").isNull(), "removed").otherwise("modified").alias("change_kind"),
-        F.array_union(F.array_except(a, b), F.array_except(b, a)).alias("tokens"),
-        (both & differ("decl_tokens")).alias("decl_changed"),
-        (both & differ("bases")).alias("bases_changed"),
-        (both & differ("is_virtual")).alias("virtual_changed"),
-        (both & differ("noexcept_spec")).alias("noexcept_changed"),
-    )
+def _risks(two: Two) -> DataFrame:
+    return R.risk_rows(R.changes_of(*two))
 
 
 def risk_rules(spark: SparkSession, d: str) -> DataFrame:
-    return K.risk_rows(_delta(B.last_two(spark, d)))
+    return _risks(B.last_two(spark, d))
+
+
+def risk_history(spark: SparkSession, d: str) -> DataFrame:
+    """Reasons by snapshot: the rules over each snapshot and the one before it."""
+    v = B.versions(spark, d)
+    nos = [r[0] for r in table(spark, d, "symbol_version").select("snap_no").where("snap_no is not null").distinct().orderBy("snap_no").collect()]
+    nxt = spark.createDataFrame(list(zip(nos, nos[1:])), "a int, b int")
+    at = lambda c: F.concat_ws("@", F.col(c), "usr")
+    old = v.join(F.broadcast(nxt), F.col("snap_no") == F.col("a")).withColumn("usr", at("b"))
+    new = v.join(F.broadcast(nxt), F.col("snap_no") == F.col("b")).withColumn("usr", at("b"))
+    r = R.risk_rows(R.changes_of(old.drop("a", "b"), new.drop("a", "b")))
+    return r.groupBy(F.split("root", "@")[0].cast("int").alias("snap_no"), "risk_group", "sub_reason").agg(F.count(F.lit(1)).alias("roots"))
+
+
+def _foreign_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of changed symbols into another component: root, callee, with what the callee's declaration tells."""
+    old, new = B.last_two(spark, d)
+    c = changed_symbols(old, new).where("change_kind <> 'removed'").select(F.col("usr").alias("root"), _component("file").alias("home"))
+    f = R.callee_facts(F.col("decl_tokens"), F.col("noexcept_spec"))
+    known = new.where("kind in ('function', 'method')").select(F.col("usr").alias("callee"), _component("file").alias("there"), *[x.alias(n) for n, x in f.items()])
+    calls = B.edges(spark, d).where("relation = 'call' and dependency is not null").select(F.col("dependent").alias("root"), F.col("dependency").alias("callee")).distinct()
+    return calls.join(c, "root").join(known, "callee").where("home <> there")
+
+
+def external_calls(spark: SparkSession, d: str) -> DataFrame:
+    return _foreign_calls(spark, d).groupBy("callee", "result", "may_throw", "out_params", "callbacks", "buffers").agg(F.count(F.lit(1)).alias("roots"))
+
+
+def external_risk(spark: SparkSession, d: str) -> DataFrame:
+    return R.external_risk(_foreign_calls(spark, d))
+
+
+def _component(c: str) -> F.Column:
+    return F.regexp_extract(c, "^([^/]+/[^/]+)/", 1)
 
 
 HOPS = Settings.max_hop
@@ -53,7 +74,7 @@ def _reach(spark: SparkSession, d: str, two: Two, hops: int = HOPS) -> DataFrame
 
 
 def _cases(nodes: DataFrame, two: Two) -> DataFrame:
-    return K.generate(nodes, K.risk_rows(_delta(two)), F.col("node").startswith("file:"))
+    return K.generate(nodes, _risks(two), F.col("node").startswith("file:"))
 
 
 def _plain_cases(spark: SparkSession, d: str, hops: int = HOPS) -> DataFrame:
@@ -161,21 +182,67 @@ def uncertainty_flags(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        risk_rules, case_generation, case_priority, case_features, case_ranking, case_keys, topk_per_group, merge_cases, evidence_gate, target_scope, scope_filter, reader_proximity, uncertainty_flags,
+        risk_rules, risk_history, external_calls, external_risk, case_generation, case_priority, case_features, case_ranking, case_keys, topk_per_group, merge_cases, evidence_gate, target_scope, scope_filter, reader_proximity, uncertainty_flags,
     )
 }
 
 _FOLDER = "regexp_extract({}, '^([^/]+/[^/]+)/', 1)"
 _Q = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
-_RULES = "rules(token, g, u) as (values " + ", ".join(f"('{t}', '{g}', '{u}')" for (g, u), ts in K.TOKEN_RISKS.items() for t in ts) + ")"
-_RISKS = f"""dl as (select coalesce(n.usr, o.usr) root, o.usr is null added, n.usr is null removed, o, n from o full join n on o.usr = n.usr where o.usr is null or n.usr is null or o.tokens <> n.tokens or o.decl_tokens <> n.decl_tokens),
-dt as (select root, unnest(list_distinct(coalesce(n.tokens, []))) t, 1 side, coalesce(o.tokens, []) other from dl union all select root, unnest(list_distinct(coalesce(o.tokens, []))), 2, coalesce(n.tokens, []) from dl),
+# the values written out once more, so that a list cut short in the engine shows
+_TOKENS = {
+    ("build_config", "debug_release"): "NDEBUG _DEBUG DEBUG assert static_assert",
+    ("ownership_lifetime", "raw_pointer"): "new delete malloc calloc realloc free nullptr NULL unique_ptr shared_ptr weak_ptr make_unique make_shared release auto_ptr",
+    ("ownership_lifetime", "move_semantics"): "move forward",
+    ("thread_safety", "mutex"): """mutex recursive_mutex shared_mutex timed_mutex recursive_timed_mutex shared_timed_mutex lock_guard unique_lock scoped_lock shared_lock condition_variable condition_variable_any lock unlock
+      try_lock notify_one notify_all wait wait_for wait_until call_once once_flag pthread_mutex_lock pthread_mutex_unlock pthread_mutex_t pthread_cond_wait pthread_cond_signal thread async future promise pthread_create detach join""",
+    ("thread_safety", "atomic"): """atomic atomic_flag atomic_bool atomic_int memory_order memory_order_relaxed memory_order_acquire memory_order_release memory_order_acq_rel memory_order_seq_cst volatile fetch_add fetch_sub
+      compare_exchange_weak compare_exchange_strong exchange load store thread_local""",
+    ("exception_safety", "throw_added"): "throw try catch rethrow_exception current_exception exception_ptr terminate",
+    ("exception_safety", "noexcept_change"): "noexcept",
+    ("logic", ""): "if else switch case default return for while do break continue goto == != < > <= >= && || ! ? : + - * / % ++ -- += -= << >> & | ^ ~ true false",
+}
+_RULES = "rules(token, g, u) as (values " + ", ".join(f"('{t}', '{g}', '{u}')" for (g, u), ts in _TOKENS.items() for t in ts.split()) + ")"
+_HEADER = r"regexp_matches(f, '\.(h|hh|hpp|hxx|ipp|inl)$')"
+
+
+def _risk_sql(pairs: str) -> str:
+    """pairs: with-clauses that give dl (root, o, n): the old and the new version of what changed, either may be null."""
+    return rf"""{pairs},
+x0 as (select root, o, n, coalesce(n.file, o.file) f, coalesce(n.kind, o.kind) kind, o is not null and n is not null ab, n is null rm, o is null ad from dl),
+tk as (select root, t, side, decl from (select root, unnest(o.tokens) t, -1 side, false decl from x0 union all select root, unnest(n.tokens), 1, false from x0
+  union all select root, unnest(o.decl_tokens), -1, true from x0 union all select root, unnest(n.decl_tokens), 1, true from x0)),
+dt as (select root, t, decl from tk group by 1, 2, 3 having sum(side) <> 0),
 {_RULES},
-k0 as (select root, g risk_group, u sub_reason from dt join rules on token = t where not list_contains(other, t)
-  union select root, 'abi_layout', 'member_change' from dl where not added and not removed and (o.bases is distinct from n.bases or o.is_virtual is distinct from n.is_virtual)
-  union select root, 'abi_layout', 'signature_change' from dl where removed or (not added and o.decl_tokens is distinct from n.decl_tokens)
-  union select root, 'exception_safety', 'noexcept_change' from dl where not added and not removed and o.noexcept_spec is distinct from n.noexcept_spec),
-k as (select * from k0 union all select root, 'logic', '' from dl where root not in (select root from k0))"""
+x as (select *, kind in ('function', 'method') fun, ab and o.tokens is distinct from n.tokens body, ab and o.decl_tokens is distinct from n.decl_tokens decl, {_HEADER} hd,
+  ab and len(list_filter(o.tokens, lambda t: t = 'if')) > len(list_filter(n.tokens, lambda t: t = 'if')) guard from x0),
+abi as (select root, 'member_change' u from x where ab and kind in ('class', 'struct') and (o.bases is distinct from n.bases or coalesce(o.is_virtual, false) <> coalesce(n.is_virtual, false))
+  union select root, 'signature_change' from x where (fun and decl) or rm
+  union select root, 'inline_change' from x where fun and hd and body and not decl),
+k1 as (select root, g risk_group, u sub_reason from dt join rules on token = t where not decl
+  union select root, 'abi_layout', u from abi union select root, 'abi_layout', 'header_change' from x where hd and root not in (select root from abi)
+  union select root, 'ownership_lifetime', 'move_semantics' from dt where decl and t = '&&'
+  union select root, 'thread_safety', 'mutex' from dt where not decl and (regexp_matches(t, '(?i)^\w*(mutex|locker|spinlock|semaphore|critical_?section|guard_?lock)\w*$') or regexp_matches(t, '^\w*Lock$'))
+  union select root, 'exception_safety', 'noexcept_change' from x where ab and o.noexcept_spec is distinct from n.noexcept_spec
+  union select root, 'logic', '' from dt where not decl and regexp_matches(t, '^-?(0x[0-9a-fA-F]+|[0-9]+(\.[0-9]+)?)[uUlLfF]*$')
+  union select root, 'logic', '' from x where fun and (body or ad)
+  union select root, 'logic', 'removed_guard' from x where guard),
+k2 as (select * from k1 where not (risk_group = 'logic' and sub_reason = '' and root in (select root from x where guard))),
+k as (select * from k2 union all select root, 'logic', '' from x where root not in (select root from k2))"""
+
+
+_RISKS = _risk_sql("dl as (select coalesce(n.usr, o.usr) root, case when o.usr is not null then o end o, case when n.usr is not null then n end n from o full join n on o.usr = n.usr where o.usr is null or n.usr is null or o.tokens <> n.tokens or o.decl_tokens <> n.decl_tokens)")
+_HISTORY = _risk_sql("""np as (select s, lead(s) over (order by s) nx from (select distinct snap_no s from v)),
+  a as (select nx || '@' || usr k, v from v join np on s = snap_no where nx is not null), b as (select snap_no || '@' || usr k, v from v where snap_no in (select nx from np)),
+  dl as (select coalesce(b.k, a.k) root, a.v o, b.v n from a full join b on a.k = b.k where a.k is null or b.k is null or a.v.tokens <> b.v.tokens or a.v.decl_tokens <> b.v.decl_tokens)""")
+_FOREIGN = rf"""fc as (select distinct e.dependent root, e.dependency callee, n.decl_tokens dc, n.noexcept_spec nx from e join ch on ch.usr = e.dependent and ch.change_kind <> 'removed' join n on n.usr = e.dependency and n.kind in ('function', 'method')
+    where e.relation = 'call' and regexp_extract(ch.file, '^([^/]+/[^/]+)/', 1) <> regexp_extract(n.file, '^([^/]+/[^/]+)/', 1)),
+  fd as (select root, callee, array_to_string(dc, ' ') s, coalesce(nx, '') nx from fc),
+  fe as (select *, regexp_extract(s, '^(.*?)[A-Za-z_~]\w*\s*\(', 1) res, list_filter(string_split(regexp_extract(s, '^[^(]*\((.*)\)[^()]*$', 1), ','), lambda p: trim(p) <> '') ps, regexp_matches(s, '\)\s*const\b') cst from fd),
+  ff as (select root, callee, case when contains(res, '*') then 'pointer' when regexp_matches(res, '\b(bool|int|long|ssize_t|errno_t|\w*[Ss]tatus\w*|\w*[Ee]rror\w*|optional)\b') then 'status' else 'none' end result,
+    not regexp_matches(nx, 'noexcept|throw') and not cst may_throw,
+    cast(case when cst then 0 else len(list_filter(ps, lambda p: regexp_matches(p, '[*&]') and not regexp_matches(p, '\bconst\b|&\s*&'))) end as integer) out_params,
+    cast(len(list_filter(ps, lambda p: regexp_matches(p, '\b(function|\w*[Cc]allback\w*|\w*[Hh]andler\w*)\b|\(\s*\*'))) as integer) callbacks,
+    cast(case when cst then 0 else len(list_filter(ps, lambda p, i: regexp_matches(p, '\*|\bspan\b') and coalesce(regexp_matches(ps[i + 1], '\b(size_t|int|unsigned|uint\d+_t)\b'), false))) end as integer) buffers from fe)"""
 _CASES = f"""with {E}, {S}, {V}, {CH}, {_ROOTS}, {_REACH}, {_RISKS},
 nd as (select distinct root, node, hop from arrive),
 far as (select node, risk_group, sub_reason, nd.root, nd.hop, starts_with(node, 'file:') fl from nd join k on k.root = nd.root),
@@ -196,6 +263,11 @@ rk as (select c.*, s.name as name, s.file, s.line, row_number() over (order by h
 
 ORACLE = {
     "risk_rules": f"with {V}, {_RISKS} select * from k",
+    "risk_history": f"with {V}, {_HISTORY} select cast(string_split(root, '@')[1] as integer) snap_no, risk_group, sub_reason, count(*) roots from k group by all",
+    "external_calls": f"with {E}, {V}, {CH}, {_FOREIGN} select callee, result, may_throw, out_params, callbacks, buffers, count(*) roots from ff group by all",
+    "external_risk": f"""with {E}, {V}, {CH}, {_FOREIGN}, sg as (select root, 'ownership_lifetime' g from ff where result = 'pointer' or out_params > 0 union select root, 'exception_safety' from ff where may_throw
+      union select root, 'thread_safety' from ff where callbacks > 0 union select root, 'logic' from ff where result = 'status' or buffers > 0 or (result = 'none' and out_params = 0 and callbacks = 0 and buffers = 0 and not may_throw))
+      select root, arg_min(g, list_position(['exception_safety', 'ownership_lifetime', 'thread_safety', 'logic'], g)) risk_group, 'external_call' sub_reason from sg group by root""",
     "case_generation": f"{_CASES} select node, hop, risk_group, sub_reason, cast(len(roots) as integer) n_roots, roots[1] first_root from c",
     "case_priority": f"{_CASES} select {_PRIO} priority, hop, risk_group, count(*) cases from c group by all",
     "case_features": f"{_CASES}, {_FEAT} select * from ft",
