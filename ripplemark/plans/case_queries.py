@@ -166,23 +166,10 @@ def reader_proximity(spark: SparkSession, d: str) -> DataFrame:
     return first_k(e.withColumn("far", far), ["dependency"], [F.col("far"), F.col("ord")], 5).select("dependency", "ord", "far")
 
 
-def uncertainty_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Roots whose reach is known to be incomplete: templates nothing instantiates, symbols nothing reaches, and ids a
-    provider failed to resolve."""
-    c = changed_symbols(*B.last_two(spark, d)).select(F.col("usr").alias("root"))
-    e = B.edges(spark, d)
-    t = table(spark, d, "symbol").where("is_template").select(F.btrim("id").alias("root")).distinct()
-    inst = e.where("relation = 'instantiate'").select(F.col("dependency").alias("root")).distinct()
-    template = c.join(t, "root", "left_semi").join(inst, "root", "left_anti").select("root", F.lit("uninstantiated_template").alias("category"))
-    lonely = c.join(e.select(F.col("dependency").alias("root")).distinct(), "root", "left_anti").select("root", F.lit("no_dependents").alias("category"))
-    missed = table(spark, d, "provider_result").select(F.explode("missed").alias("m")).select(F.btrim("m").alias("root")).distinct()
-    return template.unionByName(lonely).unionByName(c.join(missed, "root", "left_semi").select("root", F.lit("provider_unresolved").alias("category")))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
-        risk_rules, risk_history, external_calls, external_risk, case_generation, case_priority, case_features, case_ranking, case_keys, topk_per_group, merge_cases, evidence_gate, target_scope, scope_filter, reader_proximity, uncertainty_flags,
+        risk_rules, risk_history, external_calls, external_risk, case_generation, case_priority, case_features, case_ranking, case_keys, topk_per_group, merge_cases, evidence_gate, target_scope, scope_filter, reader_proximity,
     )
 }
 
@@ -284,7 +271,4 @@ ORACLE = {
     "scope_filter": f"""with {S} select kind, coalesce(regexp_matches(file, '(^|/)[a-z]+_(monitor|guard)_[0-9]+\\.'), false) out_of_scope, count(*) symbols from s group by all""",
     "reader_proximity": f"""with {E}, {V}, {CH}, x as (select e.dependency, ord, case when e.file = ch.file then 0 when {_FOLDER.format('e.file')} = {_FOLDER.format('ch.file')} then 1 else 2 end far from e join ch on ch.usr = e.dependency where dependent is not null),
       y as (select *, row_number() over (partition by dependency order by far, ord) k from x) select dependency, ord, far from y where k <= 5""",
-    "uncertainty_flags": f"""with {E}, {V}, {CH} select usr root, 'uninstantiated_template' category from ch where usr in (select trim(id) from symbol where is_template) and usr not in (select dependency from e where relation = 'instantiate' and dependency is not null)
-      union all select usr, 'no_dependents' from ch where usr not in (select dependency from e where dependency is not null)
-      union all select usr, 'provider_unresolved' from ch where usr in (select trim(m) from (select unnest(missed) m from provider_result) where m is not null)""",
 }

@@ -163,20 +163,11 @@ def build_configs(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.regexp_extract("file", r"^([^/]+/[^/]+)/", 1).alias("folder")).agg(release.alias("r")).select("folder", F.when(F.col("r") == 1, "Release").otherwise("Debug").alias("config"))
 
 
-def verify_by(spark: SparkSession, d: str) -> DataFrame:
-    """Why a text needs the device: the first line of each category of signs, at most three categories."""
-    cats = [("threads", r"\b(lock|lock_guard|mutex|thread|workers?)\b"), ("timing", r"\b(timer|timeout|watchdog|milliseconds)\b"), ("memory", r"\b(layout|bytes|packed)\b"), ("bus", r"\b(socket|frame|packet)\b")]
-    ca = spark.createDataFrame([(i, c, r) for i, (c, r) in enumerate(cats)], "o int, category string, rx string")
-    hit = B.lines(spark, d).join(F.broadcast(ca), F.expr("text rlike rx")).groupBy("file", "o", "category").agg(F.min("no").alias("no"))
-    s = F.array_sort(F.collect_list(F.struct("o", "category", "no")))
-    return hit.groupBy("file").agg(s.alias("s")).select("file", F.array_join(F.slice(F.transform("s", lambda x: F.concat_ws(":", x["category"], x["no"])), 1, 3), ", ").alias("reasons"))
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         strip_comments, tokenize, name_words, normalize_lines, boundary_values, counterparts, guard_ids, token_search, diff_parse, log_lines, log_only, code_window, negate_condition, lock_order,
-        evidence_resolves, html_extract, json_extract, is_standard, test_path_filter, norm_kind, emitters, lessons, contracts, build_configs, verify_by,
+        evidence_resolves, html_extract, json_extract, is_standard, test_path_filter, norm_kind, emitters, lessons, contracts, build_configs,
     )
 }
 
@@ -241,7 +232,4 @@ ORACLE = {
     "contracts": f"""with {S}, co(g, hint) as (values ('publish*', 'retries'), ('*::acquire*', 'must be released'), ('acquire*', 'may block'), ('base::*', 'foreign'))
       select id, string_agg(distinct hint, '; ' order by hint) hints from s join co on s.name glob g or string_split(s.name, '::')[-1] glob g group by id""",
     "build_configs": f"with {E} select regexp_extract(file, '^([^/]+/[^/]+)/', 1) folder, case when bool_or(contains(dependency, 'BATCH')) then 'Release' else 'Debug' end config from e where relation = 'macro_expand' and file is not null group by 1",
-    "verify_by": rf"""with {L}, ca(o, c, rx) as (values (0, 'threads', '\b(lock|lock_guard|mutex|thread|workers?)\b'), (1, 'timing', '\b(timer|timeout|watchdog|milliseconds)\b'), (2, 'memory', '\b(layout|bytes|packed)\b'), (3, 'bus', '\b(socket|frame|packet)\b')),
-      h as (select file, o, c, min(no) as no from l join ca on regexp_matches(text, rx) group by 1, 2, 3), k as (select *, row_number() over (partition by file order by o) r from h)
-      select file, string_agg(c || ':' || no, ', ' order by o) reasons from k where r <= 3 group by file""",
 }
