@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ripplemark.functions.text import name_words
+from ripplemark.operators.graph import closure
 from ripplemark.operators.ranking import first_k
+from ripplemark.runtime import Staged
+
+# Words of a name that tell that a call gives data away, and those that tell it does not.
+EMITTER_WORDS = ["send", "write", "publish", "post", "notify", "emit", "transmit", "enqueue", "serialize", "deliver", "output", "upload", "broadcast", "reply", "respond"]
+NOT_EMITTER_WORDS = ["log", "logger", "trace", "debug", "print", "printf", "dump", "assert"]
 
 
 def definitions(lines: DataFrame, head: str, statement: str) -> DataFrame:
@@ -40,18 +47,58 @@ def taint(defs: DataFrame, hot: DataFrame, passes: int = 2) -> DataFrame:
     return marked.select("file", "fn", "no", "target", "source", "hot").groupBy("file", "fn").applyInPandas(one, "file bigint, fn int, atom string")
 
 
-def value_paths(defs: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:
-    """(start, node, hops): variables a value reaches through definitions, least hops, no more than depth.
-
-    defs: source, target; starts: start."""
-    e = defs.select("source", "target").where("source <> target").distinct()
-    out = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("hops")).distinct()
-    front = out
-    for h in range(1, depth + 1):
-        nxt = front.join(e, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
-        front = nxt.join(out.select("start", "node"), ["start", "node"], "left_anti").withColumn("hops", F.lit(h))
-        out = out.unionByName(front)
-    return out
+def is_emitter(name: Column, third_party: Column, sinks: list[str] | None = None) -> Column:
+    """Whether a call gives data away: a sink by name (glob patterns on the full or the short one), never the standard
+    library or a logger, else foreign code or a name with an emitting word."""
+    from ripplemark.functions.text import glob_regex
+
+    words = name_words(name)
+    short = F.element_at(F.split(name, "::"), -1)
+    sink = F.lit(False)
+    for g in sinks or []:
+        sink = sink | name.rlike(glob_regex(g)) | short.rlike(glob_regex(g))
+    return (
+        F.when(sink, True)
+        .when(name.startswith("std::") | name.startswith("__"), False)
+        .when(F.arrays_overlap(words, F.lit(NOT_EMITTER_WORDS)), False)
+        .otherwise(F.coalesce(third_party, F.lit(False)) | F.arrays_overlap(words, F.lit(EMITTER_WORDS)))
+    )
+
+
+def trace(within: DataFrame, exits: DataFrame, entries: DataFrame, starts: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Values followed from function to function.
+
+    A node is a value in a function. within: src, dst (a value that goes into another of the same function); exits: node,
+    channel (a value handed over: stored in a name others see, passed as an argument, returned); entries: channel, node
+    (where it arrives); starts: root, node. Between an exit and an entry lies one step of depth, so that neither the
+    writers nor the readers of one name meet each other as pairs. Gives (root, node, depth) with the least depth, and the
+    breaks (root, channel, why): depth limit, or no one takes it."""
+    inside = closure(within, "src", "dst")
+    front = starts.select("root", "node").distinct()
+    reached, lost = None, None
+    for d in range(depth + 1):
+        more = front.join(inside, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node"))
+        now = front.unionByName(more).distinct()
+        if reached is not None:
+            now = now.join(reached.select("root", "node"), ["root", "node"], "left_anti")
+        held = Staged(now.withColumn("depth", F.lit(d)), "trace").df
+        reached = held if reached is None else reached.unionByName(held)
+        out = held.join(exits, "node").select("root", "channel").distinct()
+        if d == depth:
+            taken = out.join(entries.select("channel").distinct(), "channel", "left_semi")
+            ends = taken.select("root", "channel", F.lit("depth limit").alias("why"))
+            return reached, ends if lost is None else lost.unionByName(ends)
+        none = out.join(entries.select("channel").distinct(), "channel", "left_anti").select("root", "channel", F.lit("no one takes it").alias("why"))
+        lost = none if lost is None else lost.unionByName(none)
+        front = out.join(entries, "channel").select("root", "node").distinct()
+    raise AssertionError
+
+
+def emitted(reached: DataFrame, calls: DataFrame) -> DataFrame:
+    """(root, usr, callee, depth): calls outside the root itself that give a traced value away; the least depth.
+    calls: node (the argument), usr, callee, emits."""
+    j = reached.where("depth > 0").join(calls.where("emits").select("node", "usr", "callee"), "node")
+    return j.where("root <> usr").groupBy("root", "usr", "callee").agg(F.min("depth").alias("depth"))
 
 
 def store_readers(defs: DataFrame, member: str, first: int = 4) -> DataFrame:

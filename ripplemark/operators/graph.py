@@ -6,6 +6,8 @@ changes. Every "first k" follows an explicit order column, never the order rows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,16 +99,20 @@ def merge_nodes(nodes: DataFrame) -> DataFrame:
 
 def closure(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
     """All (a, b) with a path of one or more links, cycle-safe: semi-naive doubling until nothing is new."""
-    known = Staged(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b).distinct(), "closure")
-    new = known.df
+    first = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b).distinct()
+    parts = [Staged(first, "closure").df]
+    new = parts[0]
     for _ in range(max_rounds):
-        l, r = known.df.select(a, F.col(b).alias("_m")), known.df.select(F.col(a).alias("_m"), b)
-        bigger = Staged(known.df.unionByName(l.join(r, "_m").select(a, b)).distinct(), "closure")
-        if bigger.count() == new.count():
-            bigger.drop()
-            return known.df
-        known.drop()
-        known, new = bigger, bigger.df
+        known = reduce(DataFrame.unionByName, parts)
+        # only what is new is joined, with itself and on both sides of what was known
+        r = known.select(F.col(a).alias("_m"), F.col(b).alias("_b"))
+        l = known.select(F.col(a).alias("_a"), F.col(b).alias("_m"))
+        ahead = new.select(a, F.col(b).alias("_m")).join(r, "_m").select(a, F.col("_b").alias(b))
+        behind = l.join(new.select(F.col(a).alias("_m"), b), "_m").select(F.col("_a").alias(a), b)
+        new = Staged(ahead.unionByName(behind).distinct().join(known, [a, b], "left_anti"), "closure").df
+        if new.limit(1).count() == 0:
+            return known
+        parts.append(new)
     raise RuntimeError(f"paths of over 2^{max_rounds} links")
 
 

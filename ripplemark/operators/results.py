@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplemark.functions.text import glob_regex
 from ripplemark.operators.ranking import global_rank
 
 #: Rank of a truth no list holds.
@@ -85,3 +89,57 @@ def first_seen_rank(ranked: DataFrame) -> DataFrame:
 def shape(text: Column) -> Column:
     """A text with numbers and quoted names masked, to count misses by shape."""
     return F.regexp_replace(F.regexp_replace(text, r"`[^`]*`|'[^']*'|\"[^\"]*\"", "_"), "[0-9]+", "0")
+
+
+@dataclass(frozen=True)
+class Lesson:
+    """What a team learnt: conditions that must all hold; one that is not given always does."""
+
+    id: str
+    tokens_any: tuple[str, ...] = ()
+    name_glob: str | None = None
+    path_glob: str | None = None
+    sub_reason: str | None = None
+
+    def holds(self) -> Column:
+        """On rows with name, file, tokens and sub_reason; a name may match whole or by its last part."""
+        c = []
+        if self.tokens_any:
+            c.append(F.arrays_overlap("tokens", F.lit(list(self.tokens_any))))
+        if self.name_glob:
+            rx = glob_regex(self.name_glob)
+            c.append(F.col("name").rlike(rx) | F.element_at(F.split("name", "::"), -1).rlike(rx))
+        if self.path_glob:
+            c.append(F.col("file").rlike(glob_regex(self.path_glob)))
+        if self.sub_reason:
+            c.append(F.col("sub_reason") == self.sub_reason)
+        return F.coalesce(reduce(lambda a, b: a & b, c, F.lit(True)), F.lit(False))
+
+
+def match_lessons(rows: DataFrame, lessons: list[Lesson]) -> DataFrame:
+    """rows with the column lesson, once for each lesson that applies: a projection, as lessons are a short list."""
+    ids = F.filter(F.array(*[F.when(x.holds(), F.lit(x.id)) for x in lessons]), lambda i: i.isNotNull()) if lessons else F.expr("cast(array() as array<string>)")
+    return rows.withColumn("lesson", F.explode(ids))
+
+
+def usage_totals(calls: DataFrame, by: list[str]) -> DataFrame:
+    """Calls, tokens read and written, and cost, of a model's calls: by, input_tokens, cached_tokens, output_tokens, cost.
+    What a call does not say counts as nothing."""
+    total = lambda *cs: F.sum(sum((F.coalesce(F.col(c), F.lit(0)) for c in cs), F.lit(0)))
+    return calls.groupBy(*by).agg(F.count(F.lit(1)).alias("calls"), total("input_tokens", "cached_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"), F.round(total("cost"), 6).alias("cost"))
+
+
+def summarise(results: DataFrame, by: list[str], verdicts: list[str]) -> DataFrame:
+    """Of the results of checks: how many have each verdict, none, or one that is not known; how many the code moved under;
+    their number, whether all have one, and the bytes attached. results: by, verdict, needs_recheck, bytes."""
+    v = F.col("verdict")
+    some = v.isNotNull() & (F.btrim("verdict") != "")
+    return results.groupBy(*by).agg(
+        *[F.count_if(v == x).alias(x) for x in verdicts],
+        F.count_if(~F.coalesce(some, F.lit(False))).alias("untested"),
+        F.count_if(some & ~v.isin(*verdicts)).alias("invalid"),
+        F.count_if(F.coalesce("needs_recheck", F.lit(False))).alias("recheck"),
+        F.count(F.lit(1)).alias("total"),
+        F.bool_and(F.coalesce(some & v.isin(*verdicts), F.lit(False))).alias("complete"),
+        F.sum(F.coalesce("bytes", F.lit(0))).cast("bigint").alias("bytes"),
+    )

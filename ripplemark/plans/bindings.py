@@ -41,6 +41,20 @@ def last_two(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return v.where(F.col("snap_no") == old), v.where(F.col("snap_no") == new)
 
 
+def history(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Versions before and after, for each snapshot and the next: usr has the later snapshot in front, as in 3@usr."""
+    v = versions(spark, d)
+    nos = [r[0] for r in T.table(spark, d, "symbol_version").select("snap_no").where("snap_no is not null").distinct().orderBy("snap_no").collect()]  # one row a delivery
+    pairs = F.broadcast(spark.createDataFrame(list(zip(nos, nos[1:])), "a int, b int"))
+    side = lambda c: v.join(pairs, F.col("snap_no") == F.col(c)).withColumn("usr", F.concat_ws("@", "b", "usr")).drop("a", "b")
+    return side("a"), side("b")
+
+
+def plain(usr: str = "usr") -> F.Column:
+    """The id without the snapshot in front."""
+    return F.regexp_replace(usr, "^[0-9]+@", "")
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """(file, no, text): every line of every document; no from 1."""
     docs = T.table(spark, d, "documents").where("text is not null")
@@ -62,4 +76,8 @@ CH = """ch as (select coalesce(o.usr, n.usr) usr, coalesce(n.file, o.file) file,
   case when o.usr is null then 'added' when n.usr is null then 'removed' else 'modified' end change_kind,
   coalesce(n.end_line - n.start_line + 1, o.end_line - o.start_line + 1) lines, coalesce(n.name, o.name) as name
   from o full join n on o.usr = n.usr where o.usr is null or n.usr is null or o.tokens <> n.tokens or o.decl_tokens <> n.decl_tokens)"""
+#: H: ha and hb are the versions before and after, by the same id k; hc the ids and names that changed at any time.
+H = """np as (select s, lead(s) over (order by s) nx from (select distinct snap_no s from v)),
+ha as (select nx || '@' || usr k, v.* from v join np on s = snap_no where nx is not null), hb as (select snap_no || '@' || usr k, v.* from v where snap_no in (select nx from np)),
+hc as (select coalesce(ha.usr, hb.usr) usr, coalesce(hb.name, ha.name) as name, ha.k is not null and hb.k is not null modified from ha full join hb on ha.k = hb.k where ha.k is null or hb.k is null or ha.tokens <> hb.tokens or ha.decl_tokens <> hb.decl_tokens)"""
 L = "l as (select doc_id file, generate_subscripts(string_split(text, chr(10)), 1) as no, unnest(string_split(text, chr(10))) as text from documents where text is not null)"

@@ -34,13 +34,7 @@ def risk_rules(spark: SparkSession, d: str) -> DataFrame:
 
 def risk_history(spark: SparkSession, d: str) -> DataFrame:
     """Reasons by snapshot: the rules over each snapshot and the one before it."""
-    v = B.versions(spark, d)
-    nos = [r[0] for r in table(spark, d, "symbol_version").select("snap_no").where("snap_no is not null").distinct().orderBy("snap_no").collect()]
-    nxt = spark.createDataFrame(list(zip(nos, nos[1:])), "a int, b int")
-    at = lambda c: F.concat_ws("@", F.col(c), "usr")
-    old = v.join(F.broadcast(nxt), F.col("snap_no") == F.col("a")).withColumn("usr", at("b"))
-    new = v.join(F.broadcast(nxt), F.col("snap_no") == F.col("b")).withColumn("usr", at("b"))
-    r = R.risk_rows(R.changes_of(old.drop("a", "b"), new.drop("a", "b")))
+    r = R.risk_rows(R.changes_of(*B.history(spark, d)))
     return r.groupBy(F.split("root", "@")[0].cast("int").alias("snap_no"), "risk_group", "sub_reason").agg(F.count(F.lit(1)).alias("roots"))
 
 

@@ -62,15 +62,21 @@ def validate_records(spark: SparkSession, d: str) -> DataFrame:
     return p.select("edge_id", F.array_join(results.problems(rules), "; ").alias("problems")).where("problems <> ''")
 
 
+VERDICTS = ["pass", "fail", "blocked"]
+
+
 def results_summary(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    return o.groupBy(F.col("o_orderpriority").alias("run")).agg(
-        F.count_if(F.col("o_orderstatus") == "F").alias("passed"),
-        F.count_if(F.col("o_orderstatus") == "P").alias("failed"),
-        F.count_if(F.col("o_orderstatus") == "O").alias("untested"),
-        F.count(F.lit(1)).alias("total"),
-        F.bool_and(F.col("o_orderstatus") != "O").alias("complete"),
-    )
+    """Orders as results of a run: open ones have no verdict, ones in progress an unknown one, low priorities none at all."""
+    s = F.col("o_orderstatus")
+    verdict = F.when(F.col("o_orderpriority").startswith("5") & (s == "O"), F.lit(None)).when(s == "F", "pass").when(s == "P", "odd").when(F.col("o_totalprice") > 200000, "fail").otherwise("")
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("run"), verdict.alias("verdict"), (s == "P").alias("needs_recheck"), F.floor("o_totalprice").alias("bytes"))
+    return results.summarise(o, ["run"], VERDICTS)
+
+
+def usage_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as calls of a model, by ship flag."""
+    c = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("run"), F.col("l_partkey").alias("input_tokens"), F.when(F.col("l_linenumber") > 2, F.col("l_suppkey")).alias("cached_tokens"), F.col("l_quantity").cast("bigint").alias("output_tokens"), F.col("l_linenumber").cast("double").alias("cost"))
+    return results.usage_totals(c, ["run"])
 
 
 def summary_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -162,11 +168,6 @@ def store_readers(spark: SparkSession, d: str) -> DataFrame:
     return flow.store_readers(_defs(spark, d), "^m_")
 
 
-def data_paths(spark: SparkSession, d: str) -> DataFrame:
-    x = _defs(spark, d)
-    return flow.value_paths(x, x.where(F.col("source").startswith("g_")).select(F.col("source").alias("start")))
-
-
 def taint(spark: SparkSession, d: str) -> DataFrame:
     x = _defs(spark, d)
     first = x.groupBy("file", "fn").agg(F.min("no").alias("no")).select("file", "no")
@@ -225,8 +226,8 @@ def stream_daily(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        carry_over, annotate, annotate_unknown, action_bucket, validate_records, results_summary, summary_counts, packets, rank_metrics, rank_lab, symbol_ranks, ai_triage, truth_functions, seeded_score,
-        shape_counts, store_readers, data_paths, taint, text_functions, edit_shapes, mask_literals, cond_stack, guard_scope, signature_parts, input_classes, stream_daily,
+        carry_over, annotate, annotate_unknown, action_bucket, validate_records, results_summary, usage_totals, summary_counts, packets, rank_metrics, rank_lab, symbol_ranks, ai_triage, truth_functions, seeded_score,
+        shape_counts, store_readers, taint, text_functions, edit_shapes, mask_literals, cond_stack, guard_scope, signature_parts, input_classes, stream_daily,
     )
 }
 
@@ -255,7 +256,11 @@ ORACLE = {
     "validate_records": """with p as (select distinct edge_id, nullif(trim(dependent), '') a, nullif(trim(dependency), '') b, confidence, line from provider_edge),
       x as (select edge_id, concat_ws('; ', case when a is null then 'no dependent' end, case when b is null then 'no dependency' end, case when confidence is null then 'no confidence' end,
         case when confidence < 0 or confidence > 1 then 'confidence out of range' end, case when line < 1 then 'line before the first' end, case when a = b then 'depends on itself' end) problems from p) select * from x where problems <> ''""",
-    "results_summary": "select o_orderpriority run, count(*) filter (o_orderstatus = 'F') passed, count(*) filter (o_orderstatus = 'P') failed, count(*) filter (o_orderstatus = 'O') untested, count(*) total, bool_and(o_orderstatus <> 'O') complete from orders group by 1",
+    "results_summary": """with r as (select o_orderpriority run, case when starts_with(o_orderpriority, '5') and o_orderstatus = 'O' then null when o_orderstatus = 'F' then 'pass' when o_orderstatus = 'P' then 'odd' when o_totalprice > 200000 then 'fail' else '' end v,
+        o_orderstatus = 'P' n, cast(floor(o_totalprice) as bigint) b from orders)
+      select run, count(*) filter (v = 'pass') pass, count(*) filter (v = 'fail') fail, count(*) filter (v = 'blocked') blocked, count(*) filter (coalesce(v, '') = '') untested, count(*) filter (v = 'odd') invalid, count(*) filter (n) recheck, count(*) total,
+        bool_and(coalesce(v in ('pass', 'fail', 'blocked'), false)) complete, cast(sum(b) as bigint) bytes from r group by 1""",
+    "usage_totals": "select l_returnflag run, count(*) calls, cast(sum(l_partkey + case when l_linenumber > 2 then l_suppkey else 0 end) as bigint) input_tokens, cast(sum(cast(l_quantity as bigint)) as bigint) output_tokens, round(sum(cast(l_linenumber as double)), 6) cost from lineitem group by 1",
     "summary_counts": f"""with {E}, {B.PE}, x as (select relation, 'index' o from e union all select relation, case when run_id % 2 = 0 then 'even' else 'odd' end from pe)
       select relation, count(*) filter (o = 'index') "index", count(*) filter (o = 'even') even, count(*) filter (o = 'odd') odd from x group by 1""",
     "packets": f"with {S}, g as (select file, count(*) cases from s where file is not null group by 1) select file, cases, cast(floor((row_number() over (order by cases desc, file) - 1) / 8) as integer) batch from g",
@@ -272,7 +277,5 @@ ORACLE = {
     "store_readers": f"""with {_DEFS}, w as (select distinct file, fn, target store from df), r as (select distinct file r_file, fn r_fn, source store from df),
       j as (select w.*, r_file, r_fn, row_number() over (partition by file, fn, w.store order by r_file, r_fn) k from w join r on r.store = w.store where (file <> r_file or fn <> r_fn) and (not starts_with(w.store, 'm_') or file = r_file))
       select file, fn, store, r_file, r_fn from j where k <= 4""",
-    "data_paths": f"""with recursive {_DEFS}, g as (select distinct source, target from df where source <> target), w(start, node, hops) as (select distinct source, source, 0 from df where starts_with(source, 'g_')
-      union select w.start, g.target, w.hops + 1 from w join g on g.source = w.node where w.hops < 3) select start, node, min(hops) hops from w group by 1, 2""",
     "stream_daily": "select cast(date_trunc('day', ts) as date) \"day\", event_type kind, count(distinct event_id) events from events group by 1, 2",
 }

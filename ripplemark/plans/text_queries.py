@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplemark.functions import text as X
-from ripplemark.operators.changes import changed_symbols
+from ripplemark.operators import flow, rules
+from ripplemark.operators.results import Lesson, match_lessons
 from ripplemark.plans import bindings as B
-from ripplemark.plans.bindings import CH, E, L, S, V
+from ripplemark.plans.bindings import E, L, S, V
+from ripplemark.plans.case_queries import _HISTORY
 from ripplemark.sources.tables import table
 
 
@@ -65,12 +67,6 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
     return X.statements(B.lines(spark, d), r"^ *std::lock_guard<").select("file", "no")
 
 
-def log_only(spark: SparkSession, d: str) -> DataFrame:
-    """Diffs by whether all their changed lines are assignments."""
-    r = X.parse_diff(B.lines(spark, d))
-    return r.groupBy("file", "path").agg(F.count(F.lit(1)).alias("lines"), F.bool_and(F.col("text").rlike(r"^ *[A-Za-z_]+ = ")).alias("only"))
-
-
 def code_window(spark: SparkSession, d: str) -> DataFrame:
     lines = B.lines(spark, d)
     return X.window_end(lines, lines.where(F.col("text").rlike(r"^[a-z ]+[A-Za-z]+::[A-Za-z_]+\([^)]*\) \{")).select("file", F.col("no").alias("start")))
@@ -132,20 +128,27 @@ def norm_kind(spark: SparkSession, d: str) -> DataFrame:
 
 
 def emitters(spark: SparkSession, d: str) -> DataFrame:
-    """Calls by whether the callee's words tell that it gives data away."""
-    words = F.lit("send write publish post notify emit transmit enqueue serialize deliver output upload broadcast reply respond".split())
-    never = F.lit("log logger trace debug print printf dump assert".split())
-    s = B.symbols(spark, d).where("name is not null").select(F.col("id").alias("dependency"), X.name_words(F.col("name")).alias("w"))
-    c = B.edges(spark, d).where("relation = 'call'").join(s.select("dependency", (~F.arrays_overlap("w", never) & F.arrays_overlap("w", words)).alias("emits")), "dependency")
+    """Calls by whether the callee gives data away; the base library is foreign."""
+    s = B.symbols(spark, d).where("name is not null").select(F.col("id").alias("dependency"), flow.is_emitter(F.col("name"), F.col("name").startswith("base::") & F.col("name").contains("publish"), ["*::route*"]).alias("emits"))
+    c = B.edges(spark, d).where("relation = 'call'").join(s, "dependency")
     return c.groupBy("emits").agg(F.count(F.lit(1)).alias("calls"), F.countDistinct("dependency").alias("callees"))
 
 
+LESSONS = [
+    Lesson("queues", name_glob="*Queue::*", path_glob="src/*"),
+    Lesson("guards", name_glob="*Guard*", path_glob="*.h"),
+    Lesson("loops", tokens_any=("while", "for"), path_glob="src/*"),
+    Lesson("renamed", name_glob="rebind*", sub_reason="signature_change"),
+    Lesson("signatures", sub_reason="signature_change", path_glob="*.h*"),
+]
+
+
 def lessons(spark: SparkSession, d: str) -> DataFrame:
-    """Changed symbols that a lesson's name and path patterns both match; lessons are a short list."""
-    known = [("queues", "*Queue::*", "src/*"), ("guards", "*Guard*", "*.h"), ("maps", "*Map*", "*"), ("renames", "*::rename*", "src/*")]
-    le = spark.createDataFrame([(i, X.glob_regex(n), X.glob_regex(p)) for i, n, p in known], "lesson string, name_rx string, path_rx string")
-    c = changed_symbols(*B.last_two(spark, d)).where("name is not null and file is not null").select("usr", "name", "file")
-    return c.join(F.broadcast(le), F.expr("name rlike name_rx and file rlike path_rx")).select("usr", "lesson")
+    """Risks of changed symbols that lessons apply to."""
+    c = rules.changes_of(*B.history(spark, d))
+    words = F.array_distinct(F.concat(F.coalesce("old_tokens", F.array()), F.coalesce("new_tokens", F.array())))
+    rows = rules.risk_rows(c).join(c.select("root", "name", "file", words.alias("tokens")), "root").where("name is not null and file is not null")
+    return match_lessons(rows, LESSONS).select("root", "risk_group", "sub_reason", "lesson")
 
 
 def contracts(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +169,7 @@ def build_configs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        strip_comments, tokenize, name_words, normalize_lines, boundary_values, counterparts, guard_ids, token_search, diff_parse, log_lines, log_only, code_window, negate_condition, lock_order,
+        strip_comments, tokenize, name_words, normalize_lines, boundary_values, counterparts, guard_ids, token_search, diff_parse, log_lines, code_window, negate_condition, lock_order,
         evidence_resolves, html_extract, json_extract, is_standard, test_path_filter, norm_kind, emitters, lessons, contracts, build_configs,
     )
 }
@@ -208,7 +211,6 @@ ORACLE = {
     "diff_parse": f"with {_DIFF} select * from df",
     "log_lines": f"""with {L}, x as (select file, no, max(case when regexp_matches(text, '^ *std::lock_guard<') then no end) over (partition by file order by no rows unbounded preceding) b,
       max(case when contains(text, ';') then no end) over (partition by file order by no rows between unbounded preceding and 1 preceding) e from l) select file, no from x where b is not null and (e is null or e < b)""",
-    "log_only": f"with {_DIFF} select file, path, count(*) lines, bool_and(regexp_matches(text, '^ *[A-Za-z_]+ = ')) \"only\" from df group by 1, 2",
     "code_window": f"""with {L}, st as (select file, no start from l where regexp_matches(text, '^[a-z ]+[A-Za-z]+::[A-Za-z_]+\\([^)]*\\) \\{{')),
       j as (select st.file, start, no, sum(length(regexp_replace(text, '[^{{]', '', 'g')) - length(regexp_replace(text, '[^}}]', '', 'g'))) over w sm, max(contains(text, '{{')::int) over w seen
         from st join l on l.file = st.file and no between start and start + 39 window w as (partition by st.file, start order by no rows unbounded preceding))
@@ -225,10 +227,15 @@ ORACLE = {
     "test_path_filter": f"""with {S}, x as (select distinct regexp_replace(file, '/watchdog_', '/test_', 'g') path from s where file is not null) select path from x
       where regexp_matches(path, '(^|/)([Tt]ests?|[Uu]nit_?[Tt]ests?|gtest|testing)(/|$)|(^|/)[Tt]est_[^/]*$|_(unit)?tests?\\.[^/]+$|[a-z0-9]Tests?\\.[^/]+$')""",
     "norm_kind": f"""with {S} select case when kind in ('method', 'function') then 'callable' when kind in ('class', 'struct') then 'type' else kind end kind, regexp_replace(name, '(::)?lambda$', '') <> name anonymous, count(*) symbols from s group by 1, 2""",
-    "emitters": f"""with {E}, {S}, w as (select id, list_transform(regexp_extract_all(string_split(name, '::')[-1], {_NAME_WORD}), lambda q: lower(q)) w from s where name is not null)
-      select not list_has_any(w, ['log','logger','trace','debug','print','printf','dump','assert']) and list_has_any(w, ['send','write','publish','post','notify','emit','transmit','enqueue','serialize','deliver','output','upload','broadcast','reply','respond']) emits,
-        count(*) calls, count(distinct dependency) callees from e join w on w.id = e.dependency where relation = 'call' group by 1""",
-    "lessons": f"""with {V}, {CH}, le(lesson, a, b) as (values ('queues', '*Queue::*', 'src/*'), ('guards', '*Guard*', '*.h'), ('maps', '*Map*', '*'), ('renames', '*::rename*', 'src/*')) select usr, lesson from ch join le on ch.name glob a and ch.file glob b""",
+    "emitters": f"""with {E}, {S}, w as (select id, name, list_transform(regexp_extract_all(string_split(name, '::')[-1], {_NAME_WORD}), lambda q: lower(q)) w from s where name is not null),
+      em as (select id, name glob '*::route*' or string_split(name, '::')[-1] glob '*::route*' or (not starts_with(name, 'std::') and not starts_with(name, '__') and not list_has_any(w, ['log','logger','trace','debug','print','printf','dump','assert'])
+        and ((starts_with(name, 'base::') and contains(name, 'publish')) or list_has_any(w, ['send','write','publish','post','notify','emit','transmit','enqueue','serialize','deliver','output','upload','broadcast','reply','respond']))) emits from w)
+      select emits, count(*) calls, count(distinct dependency) callees from e join em on em.id = e.dependency where relation = 'call' group by 1""",
+    "lessons": f"""with {V}, {_HISTORY}, y as (select k.*, coalesce(n.name, o.name) as name, coalesce(n.file, o.file) file, list_concat(coalesce(o.tokens, []), coalesce(n.tokens, [])) tk from k join dl on dl.root = k.root),
+      z as (select *, string_split(name, '::')[-1] sh from y where name is not null and file is not null)
+      select root, risk_group, sub_reason, 'queues' lesson from z where (name glob '*Queue::*' or sh glob '*Queue::*') and file glob 'src/*' union all select root, risk_group, sub_reason, 'guards' from z where (name glob '*Guard*' or sh glob '*Guard*') and file glob '*.h'
+      union all select root, risk_group, sub_reason, 'loops' from z where list_has_any(tk, ['while', 'for']) and file glob 'src/*' union all select root, risk_group, sub_reason, 'renamed' from z where (name glob 'rebind*' or sh glob 'rebind*') and sub_reason = 'signature_change'
+      union all select root, risk_group, sub_reason, 'signatures' from z where sub_reason = 'signature_change' and file glob '*.h*'""",
     "contracts": f"""with {S}, co(g, hint) as (values ('publish*', 'retries'), ('*::acquire*', 'must be released'), ('acquire*', 'may block'), ('base::*', 'foreign'))
       select id, string_agg(distinct hint, '; ' order by hint) hints from s join co on s.name glob g or string_split(s.name, '::')[-1] glob g group by id""",
     "build_configs": f"with {E} select regexp_extract(file, '^([^/]+/[^/]+)/', 1) folder, case when bool_or(contains(dependency, 'BATCH')) then 'Release' else 'Debug' end config from e where relation = 'macro_expand' and file is not null group by 1",
