@@ -200,7 +200,8 @@ def guard_scope(spark: SparkSession, d: str) -> DataFrame:
 
     def scopes(t: str) -> list[tuple]:
         lines = t.split("\n")
-        return [Z.guard_scope(lines, i + 1) for i, x in enumerate(lines) if x.lstrip().startswith("if (")]
+        s = Z.Scopes(lines)
+        return [s.of(i + 1) for i, x in enumerate(lines) if x.lstrip().startswith("if (")]
 
     return Z.per_text(docs, "doc_id", "text", "file bigint, first int, last int", scopes)
 

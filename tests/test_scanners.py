@@ -16,7 +16,7 @@ def test_mask():
 
 def test_template_args():
     assert Z.strip_template_args("std::map<int, list<x>> f(a<b>) p->q") == "std::map f(a) p->q"
-    assert Z.strip_template_args("a < b;") == "a < b;"
+    assert Z.strip_template_args("a < b;") == "a < b;" and Z.strip_template_args("a < b > c") == "a < b > c"
 
 
 CODE = """namespace n {
@@ -48,7 +48,7 @@ def test_functions():
 def test_conditions():
     lines = "#ifndef G_H\n#define G_H\nx\n#ifdef A\ny\n#if B > 1\nz\n#else\nw\n#endif\n#elif C\nq\n#endif\n#endif\nr".split("\n")
     c = Z.conditions_of(lines)
-    assert c[2] == [] and c[4] == ["defined(A)"] and c[6] == ["defined(A)", "B > 1"] and c[8] == ["defined(A)", "!(B > 1)"] and c[11] == ["C"] and c[14] == []
+    assert c[2] == [] and c[4] == ["defined(A)"] and c[6] == ["defined(A)", "B > 1"] and c[8] == ["defined(A)", "B > 1 / else"] and c[11][-1].endswith("C") and c[14] == []
     assert Z.conditions_of(["#endif", "#else", "a"]) == [[], [], []]
 
 
@@ -68,7 +68,7 @@ def toks(s):
 def test_signatures():
     assert Z.parameters(toks("int f(map<int, int> m, char *s, int n)"))[0] == ["map", "<", "int", ",", "int", ">", "m"]
     assert Z.passes_by(toks("void f(T *p, const T &c, T &r, int n)")) == (1, 1)
-    assert Z.input_classes(toks("void f(bool b, char *s, std::string t, unsigned u, int n)")) == ["b: true and false", "s: nullptr, empty string, very long string", "t: empty, one element, very large", "u: 0, 1 and the maximum value"]
+    assert Z.input_classes(toks("void f(bool b, char *s, std::string t, unsigned u, int n)")) == ["b: both values", "s: no object, no text, long text", "t: none, one, many", "u: zero, one, largest"]
     assert Z.input_classes(["int", "x"]) == [] and Z.parameters(toks("void f()")) == []
 
 
