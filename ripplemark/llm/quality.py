@@ -315,9 +315,10 @@ class Reader:
         return bad / total if total else 0.0
 
 
-def repetition(text: str, tidy: bool = False) -> tuple[float, float, float, float]:
+def repetition(text: str, tidy: bool = False) -> tuple[float, float, float, float, float]:
     """Shares of duplicate lines and paragraphs (by visible characters: every copy after the first), of the characters
-    covered by the most frequent GRAM-word sequence, and of those in any repeated one."""
+    covered by the most frequent GRAM-word sequence and of those in any repeated one, and of the sequences that come again
+    at one and the same distance, which is that of a sentence or paragraph said over and over."""
     t = text if tidy else _tidy(text)
 
     def copies(parts: list[str]) -> float:
@@ -328,25 +329,39 @@ def repetition(text: str, tidy: bool = False) -> tuple[float, float, float, floa
 
     words = t.casefold().split()
     chars = sum(map(len, words))
-    top = dup = 0.0
+    top = dup = period = 0.0
     if len(words) >= GRAM and chars:
         grams = Counter(zip(*[words[i:] for i in range(GRAM)]))
         again = {g: k for g, k in grams.items() if k > 1}
         if again:
             top = min(1.0, max(k * sum(map(len, g)) for g, k in again.items()) / chars)
             hit = bytearray(len(words))
+            last: dict[tuple, int] = {}
+            gaps: dict[int, int] = {}
             for i, x in enumerate(zip(*[words[i:] for i in range(GRAM)])):
                 if x in again:
                     hit[i : i + GRAM] = b"\x01" * GRAM
+                    if (before := last.get(x)) is not None:
+                        gaps[i - before] = gaps.get(i - before, 0) + 1
+                    last[x] = i
             dup = sum(len(w) for w, h in zip(words, hit) if h) / chars
+            period = max(gaps.values()) / (len(words) - GRAM + 1)
     t = t.replace("\r\n", "\n").replace("\r", "\n")
-    return copies(t.split("\n")), copies(re.split(r"\n[ \t]*\n\s*", t)), top, dup
+    return copies(t.split("\n")), copies(re.split(r"\n[ \t]*\n\s*", t)), top, dup, period
 
 
 #: A text most of whose characters lie in one short repeated sequence is junk, whatever else it looks like.
 DOMINANT = 0.6
 
-SCHEMA = "doc bigint, dup_lines double, dup_paragraphs double, top_gram double, dup_grams double, no_prose double"
+
+def combined(bad: float, dup_lines: float, dup_paragraphs: float, top: float, dup_grams: float, period: float) -> float:
+    """The share of a text that is no prose, by all that is known: lines and paragraphs that look like none, one sequence
+    that covers most of it, and lines, paragraphs and sentences that are copies after the first. dup_grams alone tells
+    nothing: in long prose about one matter most sequences come again somewhere."""
+    return max(bad, top if top >= DOMINANT else 0.0, dup_lines, dup_paragraphs, min(period, dup_grams))
+
+
+SCHEMA = "doc bigint, dup_lines double, dup_paragraphs double, top_gram double, dup_grams double, period double, no_prose double"
 
 
 def measure(docs: DataFrame, common: dict[str, set[str]], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -358,12 +373,12 @@ def measure(docs: DataFrame, common: dict[str, set[str]], doc_id: str = "doc_id"
             rows = []
             for i, t in zip(b["doc"], b["text"]):
                 if t is None or not t.strip():
-                    rows.append((i, None, None, None, None, None))
+                    rows.append((i, None, None, None, None, None, None))
                     continue
                 t = _tidy(t)
                 r = repetition(t, True)
                 bad = reader.no_prose(t, True)
-                rows.append((i, *r, max(bad, r[2]) if r[2] >= DOMINANT else bad))
-            yield pd.DataFrame(rows, columns=["doc", "dup_lines", "dup_paragraphs", "top_gram", "dup_grams", "no_prose"])
+                rows.append((i, *r, combined(bad, *r)))
+            yield pd.DataFrame(rows, columns=["doc", "dup_lines", "dup_paragraphs", "top_gram", "dup_grams", "period", "no_prose"])
 
     return docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInPandas(run, SCHEMA).withColumnRenamed("doc", doc_id)

@@ -53,13 +53,13 @@ def test_no_prose(reader, text):
 
 
 def test_repetition_by_hand():
-    lines, paragraphs, top, dup = Q.repetition("a b c\na b c\n\nx y z")
+    lines, paragraphs, top, dup, _ = Q.repetition("a b c\na b c\n\nx y z")
     assert lines == pytest.approx(5 / 15)
     assert paragraphs == 0
     assert top == pytest.approx(6 / 9)
     assert dup == pytest.approx(6 / 9)
     assert Q.repetition("p q\n\np q\r\n\r\nr") [1] == pytest.approx(3 / 7)
-    assert Q.repetition("one") == (0, 0, 0, 0)
+    assert Q.repetition("one") == (0, 0, 0, 0, 0)
 
 
 def test_null_empty_and_long(spark):
@@ -86,3 +86,16 @@ def test_basic_against_sql(spark, tmp_path):
     cur = c.execute(queries.ORACLE["p8_basic"])
     want, names = cur.fetchall(), [x[0] for x in cur.description]
     assert canon(df.collect(), df.columns) == canon(want, names)
+
+
+def test_paragraphs_repeated_without_end():
+    prose = "The worker takes the lock before it reads the queue, and lets go of it once the last frame has been handed over to the sender. "
+    long = prose + "Nobody else may touch the buffer in the meantime, which is why the timer waits for as long as it does. "
+    reader = Q.Reader({"en": {"the", "of", "it", "in", "for", "as", "is", "has"}})
+
+    def share(t):
+        return Q.combined(reader.no_prose(t), *Q.repetition(t))
+
+    assert share(long) < 0.3 and share(long * 2) < Q.NO_PROSE
+    for t in (long * 40, (prose + "\n") * 30, (long + "\n\n") * 30):
+        assert share(t) >= Q.NO_PROSE
