@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _OWN_DIRS: list[str] = []
 _STAGED: list[str] = []
@@ -54,13 +54,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Staged:
-    """A DataFrame written to the shared folder: its lineage is cut and any executor can read it again."""
+    """A DataFrame written to the shared folder: its lineage is cut and any executor can read it again.
 
-    def __init__(self, df: DataFrame, tag: str = "stage"):
+    metrics: aggregates by name that are taken while the rows are written; they are in `seen` then."""
+
+    def __init__(self, df: DataFrame, tag: str = "stage", metrics: dict[str, Column] | None = None):
         self.spark = df.sparkSession
+        watch = Observation(f"{tag}-{uuid.uuid4().hex}") if metrics else None
+        if watch is not None:
+            df = df.observe(watch, *[c.alias(n) for n, c in metrics.items()])
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
         _STAGED.append(self.path)
         df.write.parquet(self.path)
+        self.seen = watch.get if watch is not None else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def count(self) -> int:
