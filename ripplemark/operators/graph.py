@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplemark.operators.skew import plan_loads, skew_join
+from ripplemark.operators.skew import plan_counts, plan_loads, skew_join
 from ripplemark.runtime import Staged
 
 #: Relations that are followed from a changed symbol only, not from what it reached.
@@ -49,37 +49,58 @@ def traverse_limit(kind: Column, same_shape: Column, quiet: Column) -> Column:
     )
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_hop: int = 2) -> tuple[DataFrame, DataFrame]:
+def reach(edges: DataFrame, roots: DataFrame, max_hop: int = 2, keep: int | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Bounded walk from every root at once.
 
     roots: root, limit (see traverse_limit; the column may be absent). Gives (root, node, hop) with the least hop, the
     roots themselves at hop 0, and (root, node, hop, ord, relation, file, line) of the edges that arrive at a node at its
-    least hop. Limits hold for a root's own edges; FIRST_HOP_ONLY relations are followed from roots only; a walk never
-    enters another root or its own again; what only a TERMINAL edge reached is not walked on from.
+    least hop: all of them, the first `keep` of each root and node, or none at all (keep = 0). Limits hold for a root's own
+    edges; FIRST_HOP_ONLY relations are followed from roots only; a walk never enters another root or its own again; what
+    only a TERMINAL edge reached is not walked on from.
+
+    A hop joins only edges out of what the last one reached, on bins planned by the rows that come out: the edges of a
+    node times the roots that reached it.
     """
     if "limit" not in roots.columns:
         roots = roots.withColumn("limit", F.lit(None).cast("array<string>"))
-    roots = roots.groupBy("root").agg(F.first("limit").alias("limit"))
+    roots = Staged(roots.groupBy("root").agg(F.first("limit").alias("limit")), "roots").df
     walkable = edges.where(F.col("dependency").isNotNull() & F.col("dependent").isNotNull()).select("dependency", "dependent", "relation", "file", "line", "ord")
-    plan = plan_loads(walkable.select("dependency", "ord"), ["dependency"], ["ord"])
     stops = roots.select(F.col("root").alias("dependent"))
     nodes = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hop"))
     frontier = roots.select("root", F.col("root").alias("dependency"), "limit")
-    found, seen, staged = None, None, []
+    found, seen = None, None
     for hop in range(1, max_hop + 1):
-        step = skew_join(walkable, frontier, ["dependency"], ["ord"], "inner", plan=plan)
-        ok = (F.col("limit").isNull() | F.array_contains("limit", F.col("relation"))) if hop == 1 else ~F.col("relation").isin(*FIRST_HOP_ONLY)
-        step = step.where(ok).join(stops, "dependent", "left_anti")
+        from_ = frontier.groupBy("dependency").agg(F.count(F.lit(1)).alias("_roots"))
+        # edges that lead nowhere new are left out before they are multiplied by the roots
+        mine = walkable.join(from_.select("dependency"), "dependency", "left_semi").join(stops, "dependent", "left_anti").join(from_, "dependency")
+        if hop > 1:
+            mine = mine.where(~F.col("relation").isin(*FIRST_HOP_ONLY))
+        mine = Staged(mine, "hop").df
+        load = mine.groupBy("dependency").agg((F.count(F.lit(1)) * F.max("_roots")).alias("n")).persist()
+        try:
+            plan = plan_counts(load, ["dependency"])
+        finally:
+            load.unpersist()
+        step = skew_join(mine.drop("_roots"), frontier, ["dependency"], ["ord"], "inner", plan=plan)
+        if hop == 1:
+            step = step.where(F.col("limit").isNull() | F.array_contains("limit", F.col("relation")))
         if seen is not None:
             step = step.join(seen.select("root", F.col("node").alias("dependent")), ["root", "dependent"], "left_anti")
+        is_open = (F.col("relation") != TERMINAL).cast("int")
         step = step.select("root", F.col("dependent").alias("node"), F.lit(hop).alias("hop"), "ord", "relation", "file", "line")
-        held = Staged(step, "reach")
-        staged.append(held)
-        step = held.df
-        new = step.groupBy("root", "node").agg(F.max((F.col("relation") != TERMINAL).cast("int")).alias("open"))
+        if keep == 0:
+            step = step.groupBy("root", "node").agg(F.max(is_open).alias("open"))
+        elif keep:
+            w = Window.partitionBy("root", "node")
+            step = step.withColumn("open", F.max(is_open).over(w)).withColumn("_k", F.row_number().over(w.orderBy("ord"))).where(F.col("_k") <= keep).drop("_k")
+        else:
+            step = step.withColumn("open", is_open)
+        step = Staged(step, "reach").df
+        new = step.groupBy("root", "node").agg(F.max("open").alias("open")) if keep != 0 else step
         nodes = nodes.unionByName(new.select("root", "node", F.lit(hop).alias("hop")))
-        found = step if found is None else found.unionByName(step)
-        seen = found.select("root", "node")
+        if keep != 0:
+            found = step.drop("open") if found is None else found.unionByName(step.drop("open"))
+        seen = new.select("root", "node") if seen is None else seen.unionByName(new.select("root", "node"))
         frontier = new.where("open = 1").select("root", F.col("node").alias("dependency"), F.lit(None).cast("array<string>").alias("limit"))
     return nodes, found
 

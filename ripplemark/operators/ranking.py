@@ -14,7 +14,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
     Rows are range-partitioned by the order and sorted within; each partition numbers its own, and the partitions' sizes,
     one number a partition, give the offsets. The order should be total; rows that tie share no rank but may swap."""
     spark = df.sparkSession
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # written first, as the bounds of the ranges are found by a pass of their own
+    ranged = Staged(df, "unranked").df.repartitionByRange(*order).sortWithinPartitions(*order)
     own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1
     held = Staged(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_own", own), "rank").df
     sizes = {r["_pid"]: r["n"] for r in held.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()}

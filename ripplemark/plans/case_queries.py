@@ -64,7 +64,7 @@ HOPS = Settings.max_hop
 
 
 def _reach(spark: SparkSession, d: str, two: Two, hops: int = HOPS) -> DataFrame:
-    return G.reach(B.edges(spark, d), _roots(spark, d, two), hops)[0]
+    return G.reach(B.edges(spark, d), _roots(spark, d, two), hops, 0)[0]
 
 
 def _cases(nodes: DataFrame, two: Two) -> DataFrame:

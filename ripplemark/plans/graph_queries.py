@@ -34,18 +34,18 @@ def traverse_limits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def impact_bfs(spark: SparkSession, d: str) -> DataFrame:
-    nodes, _ = G.reach(B.edges(spark, d), _roots(spark, d), 2)
+    nodes, _ = G.reach(B.edges(spark, d), _roots(spark, d), Settings.max_hop, 0)
     return nodes.groupBy("node").agg(F.min("hop").alias("hop"), F.count(F.lit(1)).alias("roots"), F.min("root").alias("first_root"))
 
 
 def impact_deep(spark: SparkSession, d: str) -> DataFrame:
     """Reach by hop count up to 4 hops over all edges from all changed symbols."""
-    nodes, _ = G.reach(B.edges(spark, d), changed(spark, d).select(F.col("usr").alias("root")), 4)
+    nodes, _ = G.reach(B.edges(spark, d), changed(spark, d).select(F.col("usr").alias("root")), 4, 0)
     return nodes.groupBy("hop").agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("node").alias("nodes"))
 
 
 def reach_edges_topk(spark: SparkSession, d: str, hops: int = Settings.max_hop) -> DataFrame:
-    _, found = G.reach(B.edges(spark, d), _roots(spark, d), hops)
+    _, found = G.reach(B.edges(spark, d), _roots(spark, d), hops, G.EDGES_A_ROOT)
     return G.reach_edges(found).select("root", "node", "ord", "relation")
 
 
@@ -149,7 +149,7 @@ def test_gaps(spark: SparkSession, d: str, hops: int = Settings.max_hop) -> Data
 def split_units(spark: SparkSession, d: str, hops: int = Settings.max_hop) -> DataFrame:
     """Reach by unit: the folder of the root carried through the walk."""
     c = changed(spark, d)
-    nodes, _ = G.reach(B.edges(spark, d), c.select(F.col("usr").alias("root")), hops)
+    nodes, _ = G.reach(B.edges(spark, d), c.select(F.col("usr").alias("root")), hops, 0)
     return nodes.join(c.select(F.col("usr").alias("root"), _folder("file").alias("unit")), "root").groupBy("unit").agg(F.countDistinct("node").alias("nodes"), F.max("hop").alias("hop"))
 
 
