@@ -2,14 +2,17 @@
 
 Rows are cut into hash buckets. Per bucket and snapshot the pairs (key hash, value hash) are summed into a small table
 of cells; subtracting the tables of two snapshots cancels all equal pairs, and what differs is peeled out of the rest.
-A bucket whose table was too small for its differences is built again with more cells; what was peeled is verified
-against the bucket's digest. Only buckets' cells and differing rows are compared, never whole snapshots side by side.
+A bucket whose table was too small for its differences is built again with more cells. Each cell holds a digest as well, a
+second hash of the values, so that what was peeled accounts for the digest of all rows or the bucket fails. Only buckets'
+cells are compared, never whole snapshots side by side; rows are read once more to give the differing hashes their keys.
 
 Keys are hashed to 128 bits, values to 64 bits and a second 64 as digest.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +28,11 @@ GROW = 3
 #: After so many enlargements a bucket has more cells than rows and is compared row by row.
 ROUNDS = 3
 
+#: What the rows of a cell are summed in: key, value, check of these, digest (a second hash of the value) and the cells of
+#: the row, SPOT_BITS for each.
+FIELDS = ("k1", "k2", "v", "c", "g", "p")
+SPOT_BITS = 21
+
 PEELED = "pair int, bucket int, ok boolean, k1 bigint, k2 bigint, v bigint, sign int"
 
 
@@ -54,17 +62,17 @@ def latest(rows: DataFrame, snap: str, key: str, order: str, values: list[str],
 
 
 def _cells(rows: DataFrame, snaps: DataFrame, size: Column) -> DataFrame:
-    """Summed and subtracted cells (pair, bucket, cell, n, k1, k2, v, c) that are not zero, and the digests of each."""
+    """Summed and subtracted cells: n, and the xor of each of FIELDS."""
     # each row counts for the pair that ends at its snapshot (+1) and for the one that begins there (-1)
     pairs = F.broadcast(snaps)
     signed = rows.join(pairs, "snap").select("bucket", "pair", "sign", "k1", "k2", "v", "d", size.alias("m"))
     check = F.xxhash64(F.lit(17), "k1", "k2", "v")
     third = (F.col("m") / PARTS).cast("int")
     spots = F.array(*[(F.pmod(F.xxhash64(F.lit(100 + i), "k1", "v"), third) + third * i).cast("int") for i in range(PARTS)])
-    e = signed.select("bucket", "pair", "sign", "m", "k1", "k2", "v", "d", check.alias("c"), F.explode(spots).alias("cell"))
-    return e.groupBy("bucket", "pair", "m", "cell").agg(
-        F.sum("sign").alias("n"), F.bit_xor("k1").alias("k1"), F.bit_xor("k2").alias("k2"), F.bit_xor("v").alias("v"), F.bit_xor("c").alias("c"), F.bit_xor("d").alias("d")
-    )
+    e = signed.select("bucket", "pair", "sign", "m", "k1", "k2", "v", check.alias("c"), F.xxhash64("k2", "d").alias("g"), spots.alias("s"))
+    packed = F.aggregate("s", F.lit(0).cast("bigint"), lambda acc, x: F.shiftleft(acc, SPOT_BITS).bitwiseOR(x.cast("bigint")))
+    e = e.select("*", packed.alias("p"), F.explode("s").alias("cell"))
+    return e.groupBy("bucket", "pair", "m", "cell").agg(F.sum("sign").alias("n"), *[F.bit_xor(x).alias(x) for x in FIELDS])
 
 
 def _rotl(x: int, r: int) -> int:
@@ -108,26 +116,25 @@ def spark_hash(lead: int, *longs: int) -> int:
 
 
 def peel(cells: pd.DataFrame) -> pd.DataFrame:
-    """Recover the differing pairs of one bucket of one snapshot pair; ok is false if some could not be."""
-    pair, bucket, m = int(cells["pair"].iloc[0]), int(cells["bucket"].iloc[0]), int(cells["m"].iloc[0])
-    third = m // PARTS
-    table = {int(c): [int(n), int(k1), int(k2), int(v), int(x)] for c, n, k1, k2, v, x in zip(cells["cell"], cells["n"], cells["k1"], cells["k2"], cells["v"], cells["c"])}
+    """Recover the differing pairs of one bucket of one snapshot pair; ok is false if some could not be, or if the digests
+    of what was recovered do not account for those of all rows: then some sum is left over."""
+    pair, bucket = int(cells["pair"].iloc[0]), int(cells["bucket"].iloc[0])
+    low = (1 << SPOT_BITS) - 1
+    table = {int(x[0]): [int(y) for y in x[1:]] for x in zip(*[cells[f].tolist() for f in ("cell", "n", *FIELDS)])}
     out = []
     todo = [c for c, t in table.items() if abs(t[0]) == 1]
     while todo:
         t = table.get(todo.pop())
         if t is None or abs(t[0]) != 1 or spark_hash(17, t[1], t[2], t[3]) != t[4]:
             continue
-        sign, k1, k2, v, x = t
-        out.append((k1, k2, v, sign))
-        for i in range(PARTS):
-            at = spark_hash(100 + i, k1, v) % third + third * i
-            u = table.setdefault(at, [0, 0, 0, 0, 0])
+        sign, *row = t
+        out.append((*row[:3], sign))
+        p = row[-1]
+        for at in (p >> SPOT_BITS * i & low for i in range(PARTS)):
+            u = table.setdefault(at, [0] * (len(FIELDS) + 1))
             u[0] -= sign
-            u[1] ^= k1
-            u[2] ^= k2
-            u[3] ^= v
-            u[4] ^= x
+            for i, x in enumerate(row, 1):
+                u[i] ^= x
             if abs(u[0]) == 1:
                 todo.append(at)
     ok = not any(any(t) for t in table.values())
@@ -156,27 +163,20 @@ def snapshot_changes(rows: DataFrame, snap: str, key: str, order: str, values: l
     todo, out, m = held.df, [], m0
     bad = None
     for turn in range(ROUNDS):
-        cells = _cells(todo, pairs, F.lit(m)).where("n <> 0 or k1 <> 0 or k2 <> 0 or v <> 0 or c <> 0")
+        some = " or ".join(f"{x} <> 0" for x in ("n", *FIELDS))
+        cells = _cells(todo, pairs, F.lit(m)).where(some)
         if bad is not None:
             cells = cells.join(bad, ["pair", "bucket"], "left_semi")
         peeled = Staged(cells.groupBy("bucket", "pair").applyInPandas(peel, PEELED), "peeled")
-        good = peeled.df.where("ok and k1 is not null")
-        verified = _verify(good, held.df, pairs, peeled.df.where("ok").select("pair", "bucket").distinct())
-        out.append(good.join(verified, ["pair", "bucket"], "left_semi"))
-        bad_now = peeled.df.select("pair", "bucket").distinct().join(verified, ["pair", "bucket"], "left_anti")
-        bad = Staged(bad_now, "bad").df
+        out.append(peeled.df.where("ok and k1 is not null"))
+        bad = Staged(peeled.df.where("not ok").select("pair", "bucket").distinct(), "bad").df
         if not bad.limit(1).count():
             bad = None
             break
-        m *= GROW
+        m = min(m * GROW, (1 << SPOT_BITS) - PARTS)
         todo = held.df.join(bad.select("bucket").distinct(), "bucket", "left_semi")
-    found = None
-    for o in out:
-        o = o.select("pair", "bucket", "k1", "k2", "sign")
-        found = o if found is None else found.unionByName(o)
+    found = reduce(DataFrame.unionByName, [o.select("pair", "bucket", "k1", "k2", "sign") for o in out])
     side = held.df.join(F.broadcast(pairs), "snap").select("pair", "bucket", "k1", "k2", "key", "sign")
-    if found is None:
-        return spark.createDataFrame([], "snap_no int, key string, change_kind string")
     # back from hashes to keys: a differing pair names the row of the one or the other snapshot
     named = side.join(found, ["pair", "bucket", "k1", "k2", "sign"], "left_semi").select("pair", "key", "sign")
     if bad is not None:  # tables that did not open even with more cells than rows: these buckets row by row
@@ -188,13 +188,3 @@ def snapshot_changes(rows: DataFrame, snap: str, key: str, order: str, values: l
     kind = F.when(F.count(F.lit(1)) == 2, "modified").when(F.max("sign") == 1, "added").otherwise("removed")
     return named.groupBy("pair", "key").agg(kind.alias("change_kind")).select(F.col("pair").alias("snap_no"), "key", "change_kind")
 
-
-def _verify(good: DataFrame, held: DataFrame, pairs: DataFrame, opened: DataFrame) -> DataFrame:
-    """(pair, bucket) of those whose digests agree: the second hashes of all rows of both snapshots, summed by xor, must
-    equal those of the recovered ones, and so must their number."""
-    signed = held.join(F.broadcast(pairs), "snap")
-    all_d = signed.groupBy("bucket", "pair").agg(F.bit_xor(F.xxhash64("k2", "d")).alias("want"), F.sum("sign").alias("n"))
-    got = signed.join(good.select("pair", "bucket", "k1", "k2", "v", "sign"), ["pair", "bucket", "k1", "k2", "v", "sign"], "left_semi")
-    got_d = got.groupBy("bucket", "pair").agg(F.bit_xor(F.xxhash64("k2", "d")).alias("have"), F.sum("sign").alias("h"))
-    j = all_d.join(got_d, ["bucket", "pair"], "left").join(opened, ["bucket", "pair"], "left_semi")
-    return j.where((F.col("want") == F.coalesce("have", F.lit(0))) & (F.col("n") == F.coalesce("h", F.lit(0)))).select("pair", "bucket")

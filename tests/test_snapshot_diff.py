@@ -81,5 +81,5 @@ def test_hash_is_the_jvms(spark):
 
 
 def test_peeling_gives_up_when_cells_are_few():
-    cells = pd.DataFrame({"pair": [2], "bucket": [0], "m": [3], "cell": [0], "n": [2], "k1": [5], "k2": [6], "v": [7], "c": [8]})
+    cells = pd.DataFrame({"pair": [2], "bucket": [0], "m": [3], "cell": [0], "n": [2], "k1": [5], "k2": [6], "v": [7], "c": [8], "g": [9], "p": [0]})
     assert D.peel(cells)["ok"].tolist() == [False]
