@@ -58,15 +58,16 @@ def document(body: Column) -> Column:
     return bind(F.btrim(body, F.lit(AROUND)), tries)
 
 
-def documents(rows: DataFrame, body: str, doc: str = "doc") -> DataFrame:
+def documents(rows: DataFrame, body: str, doc: str = "doc", by: tuple[str, ...] = ()) -> DataFrame:
     """rows with the column body replaced by its document; rows without a usable one are left out. Texts encoded as JSON
-    strings are unwrapped as often as that was done, one pass over those that are left for each time."""
+    strings are unwrapped as often as that was done, one pass over those that are left for each time. by: columns of few
+    values that the documents are read by later."""
     others = [c for c in rows.columns if c != body]
     parts, todo = [], rows
     while True:
         parsed = todo.select(*others, document(F.col(body)).alias(doc)).withColumn("_kind", F.schema_of_variant(doc))
         wrapped = F.col("_kind") == "STRING"
-        held = Staged(parsed.where(wrapped | F.col("_kind").rlike("^(OBJECT|ARRAY)")).select(*others, doc, wrapped.alias("_wrapped")), "documents").df
+        held = Staged(parsed.where(wrapped | F.col("_kind").rlike("^(OBJECT|ARRAY)")).select(*others, doc, wrapped.alias("_wrapped")), "documents", by=("_wrapped", *by)).df
         parts.append(held.where("not _wrapped").drop("_wrapped"))
         todo = held.where("_wrapped").select(*others, F.try_variant_get(doc, "$", "string").alias(body))
         if todo.limit(1).count() == 0:

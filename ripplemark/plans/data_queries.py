@@ -65,10 +65,13 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
 # --- 3: deeply nested records
 
 
+KINDS = ("report", "pilot", "verdicts")
+
+
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "report_raw").where(F.col("body").isNotNull())
+    raw = table(spark, d, "report_raw").where(F.col("body").isNotNull() & clean_word("kind").isin(*KINDS))
     rows = raw.select("record_id", clean_word("kind").alias("kind"), F.concat_ws("#", "record_id", F.hex(F.xxhash64("body"))).alias("doc_key"), "body")
-    return nested.documents(rows.distinct(), "body")
+    return nested.documents(rows, "body", by=("kind",))
 
 
 class _Records:
@@ -81,7 +84,7 @@ class _Records:
         self.spark = spark
         trees = nested.infer_schema(docs, "doc", "kind")
         self.tables = {}
-        for kind in ("report", "pilot", "verdicts"):
+        for kind in KINDS:
             mine = docs.where(F.col("kind") == kind)
             self.tables[kind] = nested.tables(mine, trees.get(kind, nested.Place()), ["record_id"], carry=self.CARRY)
 
@@ -150,23 +153,23 @@ class _Records:
 
 
 def p3_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _Records(spark, d).candidates()
+    return _Records(spark, d).candidates().distinct()
 
 
 def p3_evidence(spark: SparkSession, d: str) -> DataFrame:
-    return _Records(spark, d).evidence()
+    return _Records(spark, d).evidence().distinct()
 
 
 def p3_hits(spark: SparkSession, d: str) -> DataFrame:
-    return _Records(spark, d).hits()
+    return _Records(spark, d).hits().distinct()
 
 
 def p3_checks(spark: SparkSession, d: str) -> DataFrame:
-    return _Records(spark, d).checks()
+    return _Records(spark, d).checks().distinct()
 
 
 def p3_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return _Records(spark, d).verdicts()
+    return _Records(spark, d).verdicts().distinct()
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -56,16 +56,17 @@ def shared_dir(spark: SparkSession) -> str:
 class Staged:
     """A DataFrame written to the shared folder: its lineage is cut and any executor can read it again.
 
-    metrics: aggregates by name that are taken while the rows are written; they are in `seen` then."""
+    metrics: aggregates by name that are taken while the rows are written; they are in `seen` then. by: columns of few
+    values, by which the files are laid out, so that a filter on them reads only what it asks for."""
 
-    def __init__(self, df: DataFrame, tag: str = "stage", metrics: dict[str, Column] | None = None):
+    def __init__(self, df: DataFrame, tag: str = "stage", metrics: dict[str, Column] | None = None, by: tuple[str, ...] = ()):
         self.spark = df.sparkSession
         watch = Observation(f"{tag}-{uuid.uuid4().hex}") if metrics else None
         if watch is not None:
             df = df.observe(watch, *[c.alias(n) for n, c in metrics.items()])
         self.path = f"{shared_dir(self.spark)}/{tag}-{uuid.uuid4().hex}"
         _STAGED.append(self.path)
-        df.write.parquet(self.path)
+        df.write.partitionBy(*by).parquet(self.path)
         self.seen = watch.get if watch is not None else {}
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
