@@ -70,7 +70,7 @@ KINDS = ("report", "pilot", "verdicts")
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
     raw = table(spark, d, "report_raw").where(F.col("body").isNotNull() & clean_word("kind").isin(*KINDS))
-    rows = raw.select("record_id", clean_word("kind").alias("kind"), F.concat_ws("#", "record_id", F.hex(F.xxhash64("body"))).alias("doc_key"), "body")
+    rows = raw.select("record_id", clean_word("kind").alias("kind"), F.concat_ws("#", "record_id", F.md5("body")).alias("doc_key"), "body")
     return nested.documents(rows, "body", by=("kind",))
 
 
@@ -260,7 +260,61 @@ found as (
   union all
   select q.snap_no, o.usr, 'removed' from q join v o on o.snap_no = q.prev left join v n on n.snap_no = q.snap_no and n.usr = o.usr where n.usr is null)"""
 
+_AROUND = r"^[\s\x{FEFF}\x{200B}\x{00A0}]+|[\s\x{FEFF}\x{200B}\x{00A0}]+$"
+
+
+def _read_json(level: int) -> str:
+    """The JSON text in column t of w{level}: what stands around it is cut off; a JSON string is read once more."""
+    k = level
+    ok = lambda x: f"when json_valid({x}) then {x}"
+    return rf"""s{k} as (select *, regexp_replace(t, '{_AROUND}', '', 'g') s from w{k}),
+r{k} as (select *, regexp_extract(s, '(?ms)^[ \t\x{{FEFF}}]*([\[{{"].*[\]}}"])', 1) fr, regexp_extract(s, '(?ms)^(\{{.*\}})', 1) br, regexp_extract(s, '(?s)^[^\[{{]*(\{{.*\}}|\[.*\])', 1) il, not regexp_matches(s, '^[\[{{"]') bare, regexp_matches(s, '(?m)^[ \t\x{{FEFF}}]*[\[{{"]') opens from s{k}),
+j{k} as (select record_id, kind, key, case {ok("s")} {ok("fr")} when bare and json_valid(br) then br when bare and not opens and json_valid(il) then il end j from r{k}),
+w{k + 1} as (select record_id, kind, key, json_extract_string(j, '$') t from j{k} where json_type(j) = 'VARCHAR')"""
+
+
+_UNWRAPS = 4
+_DOCS = (
+    "w0 as (select distinct record_id, lower(trim(kind)) kind, record_id || '#' || md5(body) key, body t from report_raw where body is not null), "
+    + ", ".join(_read_json(k) for k in range(_UNWRAPS))
+    + ", doc as ("
+    + " union all ".join(f"select record_id, kind, key, j::json j from j{k} where json_type(j) in ('OBJECT', 'ARRAY')" for k in range(_UNWRAPS))
+    + "), top as (select record_id, kind, key || '/' || unnest(range(len(xs))) key, unnest(xs) j from (select *, case when json_type(j) = 'ARRAY' then json_extract(j, '$[*]') else [j] end xs from doc))"
+)
+
+
+def _each(j: str, where: str, src: str, cols: str = "") -> str:
+    """Rows of the elements of j of src: cols, pos and e; a lone value is the only element."""
+    return f"""(select {cols}unnest(xs) e, unnest(range(len(xs))) pos from (select {cols}case json_type({j}) when 'ARRAY' then json_extract({j}, '$[*]') when 'NULL' then [] else [{j}] end xs from {src} where {where} and {j} is not null)) where json_type(e) <> 'NULL'"""
+
+
+def _text(*paths: str) -> str:
+    return "coalesce(" + ", ".join(f"case when json_type(e, '$.{p}') not in ('OBJECT', 'ARRAY') then json_extract_string(e, '$.{p}') end" for p in paths) + ")"
+
+
+_EVIDENCE = f"""{_DOCS}, tops as (select record_id, kind, key, j from top), holder as (select record_id, key, j from tops where kind = 'report' union all select record_id, key, json_extract(j, '$.report') from tops where kind = 'report' and json_type(j, '$.report') = 'OBJECT'),
+cand as (select record_id, key || '/' || pos key, pos, e from {_each("json_extract(j, '$.test_case_candidates')", "true", "holder", "record_id, key, ")}),
+ev as (select record_id, key, id, pos, e from {_each("json_extract(c, '$.evidence')", "true", "(select record_id, key, e c, json_extract_string(e, '$.id') id from cand)", "record_id, key, id, ")}),
+hit as (select record_id, key, intro, pos, e from {_each("json_extract(j, '$.hits')", "kind = 'pilot'", "(select *, json_extract_string(j, '$.intro') intro from tops)", "record_id, key, intro, ")}),
+chk as (select record_id, key || '/' || pos key, pos, json_extract(e, '$.evidence') x from {_each("json_extract(j, '$.additional_checks')", "kind = 'verdicts'", "tops", "record_id, key, ")}),
+chv as (select record_id, key, p0 pos, min_by(v, pos) val from (select record_id, key, p0, pos, coalesce(case when json_type(e) not in ('OBJECT', 'ARRAY') then json_extract_string(e, '$') end,
+    case when json_extract_string(e, '$.file_path') is not null and json_extract_string(e, '$.line') is not null then json_extract_string(e, '$.file_path') || ':' || json_extract_string(e, '$.line') end) v
+  from {_each("x", "true", "(select record_id, key, pos p0, x from chk)", "record_id, key, p0, ")}) where v is not null group by 1, 2, 3)"""
+
 ORACLE = {
+    "p3_found": f"""with {_EVIDENCE} select distinct * from (
+      select record_id, 'evidence' item, id parent, cast(pos as integer) pos, {_text("qualified_name", "symbol.qualified_name", "from_symbol.qualified_name", "edge.from_symbol.qualified_name", "symbol")} val from ev
+      union all select record_id, 'hit', intro, cast(pos as integer), coalesce({_text("symbol")}, case when json_extract_string(e, '$.symbol.file_path') is not null and json_extract_string(e, '$.symbol.function') is not null then json_extract_string(e, '$.symbol.file_path') || ':' || json_extract_string(e, '$.symbol.function') end) from hit
+      union all select record_id, 'check', 'additional_checks', cast(pos as integer), val from chv) where val is not null""",
+    "p3_candidates": f"""with {_EVIDENCE} select distinct record_id, key row_key, cast(pos as integer) pos, {_text("id")} id, {_text("description")} description, {_text("priority")} priority, {_text("risk_group")} risk_group, {_text("sub_reason")} sub_reason,
+      try_cast({_text("hop_distance")} as bigint) hop_distance from cand""",
+    "p3_evidence": f"""with {_EVIDENCE} select distinct record_id, key || '/' || pos row_key, key parent_key, id parent, cast(pos as integer) pos, {_text("qualified_name", "symbol.qualified_name", "from_symbol.qualified_name", "edge.from_symbol.qualified_name", "symbol")} val, {_text("relation", "edge.relation")} relation from ev""",
+    "p3_hits": f"""with {_EVIDENCE} select distinct record_id, key || '/' || pos row_key, key parent_key, intro parent, cast(pos as integer) pos, coalesce({_text("symbol")}, case when json_extract_string(e, '$.symbol.file_path') is not null and json_extract_string(e, '$.symbol.function') is not null then json_extract_string(e, '$.symbol.file_path') || ':' || json_extract_string(e, '$.symbol.function') end) val,
+      try_cast({_text("hop")} as bigint) hop from hit""",
+    "p3_checks": f"with {_EVIDENCE} select distinct record_id, key row_key, cast(pos as integer) pos, val from chv",
+    "p3_verdicts": f"""with {_DOCS}, ks as (select record_id, key, json_extract(j, '$.cases') o from top where kind = 'verdicts' and json_type(j, '$.cases') = 'OBJECT'),
+      es as (select record_id, key, o, unnest(list_sort(json_keys(o))) c, unnest(range(len(json_keys(o)))) pos from ks)
+      select distinct record_id, key || '/' || pos row_key, c case_id, json_extract_string(o, '$."' || c || '".verdict') verdict, json_extract_string(o, '$."' || c || '".note') note from es""",
     "p1_found": _LOADS + " select side, node from loads where edges * 100 >= (select count(distinct ord) from dep)",
     "p1_node_loads": _LOADS + " select * from loads",
     "p1_kind_matrix": f"""with {_EDGES},

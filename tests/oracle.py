@@ -39,11 +39,14 @@ def canon(rows, names) -> list[str]:
     return sorted("|".join(one(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, name: str, f, sql: str | None, d: str, con=None) -> str:
+def run(spark, f, d: str) -> tuple[list, list[str], float]:
     t = time.time()
     df = f(spark, d)
-    got, names = df.collect(), df.columns
-    took = time.time() - t
+    return df.collect(), df.columns, time.time() - t
+
+
+def compare(spark, name: str, f, sql: str | None, d: str, con=None, ran=None) -> str:
+    got, names, took = ran or run(spark, f, d)
     if sql is None:
         return f"{name}: {len(got)} rows, no SQL, {took:.1f} s"
     cur = (con or views(d)).execute(sql)
