@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplemark.operators.ranking import first_k
 from ripplemark.operators.skew import plan_counts, plan_loads, skew_join
 from ripplemark.runtime import Staged
 
@@ -157,18 +158,17 @@ def choose_definition(refs: DataFrame, symbols: DataFrame, near: int = 3) -> Dat
     """Match each reference (ref, name, file, line) to symbols (id, name, spelling, file, line) of its spelling.
 
     Tiers: same file within `near` lines (the nearest, then the smallest id, only); the same qualified name; the same
-    file; the only one there is. The best tier that has a match stands; the others of that tier stay too."""
+    file; the only one there is. The best tier that has a match stands; the others of that tier stay too. Each tier is an
+    equi-join of its own, so that a short name that half the code uses does not meet all its bearers."""
     s = symbols.select("id", F.col("name").alias("s_name"), "spelling", F.col("file").alias("s_file"), F.col("line").alias("s_line"))
-    j = refs.withColumn("spelling", F.element_at(F.split("name", "::"), -1)).join(s, "spelling")
-    by = Window.partitionBy("ref")
+    r = refs.select("ref", "name", "file", "line", F.element_at(F.split("name", "::"), -1).alias("spelling"))
     gap = F.abs(F.col("line") - F.col("s_line"))
-    tier = (
-        F.when((F.col("s_file") == F.col("file")) & (gap <= near), 0)
-        .when(F.col("s_name") == F.col("name"), 1)
-        .when(F.col("s_file") == F.col("file"), 2)
-        .when(F.count(F.lit(1)).over(by) == 1, 3)
-    )
-    t = j.withColumn("tier", tier).where("tier is not null").withColumn("gap", gap)
+    here = r.join(s, (r.spelling == s.spelling) & (r.file == s.s_file)).select("ref", "id", F.when(gap <= near, 0).otherwise(2).alias("tier"), gap.alias("gap"))
+    named = r.join(s, (r.name == s.s_name) & (r.spelling == s.spelling)).select("ref", "id", F.lit(1).alias("tier"), gap.alias("gap"))
+    single = s.groupBy("spelling").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1").drop("k")
+    only = r.join(single, "spelling").select("ref", "id", F.lit(3).alias("tier"), F.lit(None).cast("int").alias("gap"))
+    t = here.unionByName(named).unionByName(only)
+    by = Window.partitionBy("ref")
     best = t.withColumn("least", F.min("tier").over(by)).where("tier = least")
     order = by.orderBy(F.when(F.col("tier") == 0, F.col("gap")).otherwise(0), "id")
     return best.withColumn("rn", F.row_number().over(order)).where("tier > 0 or rn = 1").select("ref", "id", "tier")
@@ -185,6 +185,13 @@ def resolve_symbols(wanted: DataFrame, symbols: DataFrame) -> DataFrame:
     return exact.unionByName(rest.join(tails, "want", "left").select("want", "id"))
 
 
+def first_names(rows: DataFrame, by: str, name: str, k: int) -> DataFrame:
+    """(by, names, more): the first k names of each group, in order, and how many more there are. rows are distinct."""
+    few = first_k(rows, [by], [F.col(name)], k).groupBy(by).agg(F.array_sort(F.collect_list(name)).alias("names"))
+    n = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    return few.join(n, by).select(by, "names", F.greatest(F.col("_n") - k, F.lit(0)).cast("int").alias("more"))
+
+
 def overlay_unknown(edges: DataFrame, symbols: DataFrame, first: int = 3) -> tuple[DataFrame, DataFrame]:
     """Provider edges kept (first of each (dependent, dependency, relation) by edge_id, both ends known) and, per run,
     flags of unknown ends: the first few ids and how many more."""
@@ -193,8 +200,7 @@ def overlay_unknown(edges: DataFrame, symbols: DataFrame, first: int = 3) -> tup
     known = symbols.select("id").distinct()
     ends = one.select("run_id", F.explode(F.array("dependent", "dependency")).alias("id")).distinct()
     lost = ends.join(known, "id", "left_anti")
-    ids = F.array_sort(F.collect_set("id"))
-    flags = lost.groupBy("run_id").agg(ids.alias("ids")).select("run_id", F.concat_ws(", ", F.slice("ids", 1, first)).alias("first_ids"), F.greatest(F.size("ids") - first, F.lit(0)).alias("more"))
+    flags = first_names(lost, "run_id", "id", first).select("run_id", F.concat_ws(", ", "names").alias("first_ids"), "more")
     kept = one
     for end in ("dependent", "dependency"):
         kept = kept.join(known.select(F.col("id").alias(end)), end, "left_semi")
@@ -214,8 +220,7 @@ def entry_points(calls: DataFrame, starts: DataFrame, depth: int = 3, names: int
         cur = fresh.select("start", "node").distinct()
         seen = seen.unionByName(cur)
     ends = ends.unionByName(cur).where("node <> start").distinct()
-    e = F.array_sort(F.collect_set("node"))
-    return ends.groupBy("start").agg(e.alias("e")).select("start", F.slice("e", 1, names).alias("entries"), F.greatest(F.size("e") - names, F.lit(0)).alias("more"))
+    return first_names(ends, "start", "node", names).withColumnRenamed("names", "entries")
 
 
 def affected_targets(touched: DataFrame, target_deps: DataFrame) -> DataFrame:

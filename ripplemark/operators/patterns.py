@@ -6,6 +6,8 @@ the same facts: per symbol version the names it writes, reads, calls and returns
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,16 +42,22 @@ def _folder(c: Column) -> Column:
     return F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
 
 
-def readers(facts: DataFrame, wanted: DataFrame, most: int = READERS, same: Column | None = None) -> DataFrame:
+def readers(facts: DataFrame, wanted: DataFrame, most: int = READERS, same_file: bool = False) -> DataFrame:
     """(usr, name, reader): who reads a name some symbol's change is about, the nearest first: same file, same folder.
 
-    Symbols that only write the name are no readers, nor is the changed one. wanted: usr, file, name."""
-    r = facts.where("role <> 'write' and role <> 'call'").select("name", F.col("usr").alias("reader"), F.col("file").alias("r_file")).distinct()
-    j = wanted.join(r, "name").where("usr <> reader")
-    if same is not None:
-        j = j.where(same)
-    far = F.when(F.col("file") == F.col("r_file"), 0).when(_folder(F.col("file")) == _folder(F.col("r_file")), 1).otherwise(2)
-    return first_k(j, ["usr", "name"], [far, F.col("reader")], most).select("usr", "name", "reader")
+    Symbols that only write the name are no readers, nor is the changed one. wanted: usr, file, name. The readers of a
+    name are cut to the first of each file, folder and of all before they meet those who ask, one more than asked for as
+    one may be the asker: a name that everyone reads stays small, and none of the nearest is lost."""
+    r = facts.where("role <> 'write' and role <> 'call'").select("name", F.col("usr").alias("reader"), "file", _folder(F.col("file")).alias("folder")).distinct()
+    w = wanted.select("usr", "name", "file", _folder(F.col("file")).alias("folder")).distinct()
+    parts = []
+    for far, by in enumerate((["name", "file"], ["name", "folder"], ["name"])):
+        few = first_k(r.select(*by, "reader").distinct(), by, [F.col("reader")], most + 1)
+        parts.append(w.join(few, by).where("usr <> reader").select("usr", "name", "reader", F.lit(far).alias("far")))
+        if same_file:
+            break
+    near = reduce(DataFrame.unionByName, parts).groupBy("usr", "name", "reader").agg(F.min("far").alias("far"))
+    return first_k(near, ["usr", "name"], [F.col("far"), F.col("reader")], most).select("usr", "name", "reader")
 
 
 def counterpart_unchanged(changed: DataFrame, pairs: DataFrame, symbols: DataFrame) -> DataFrame:

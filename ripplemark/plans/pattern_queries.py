@@ -47,7 +47,7 @@ def pattern_class_consumer(spark: SparkSession, d: str) -> DataFrame:
     """Readers, in the same file, of names a modified symbol writes."""
     _, new = _facts(spark, d)
     w = first_k(new.where("role = 'write'").groupBy("usr", "file", "name").agg(F.min("at").alias("at")), ["usr"], [F.col("at"), F.col("name")], 2)
-    return P.readers(_all(spark, d), w.select("usr", "file", "name"), 2, F.col("file") == F.col("r_file"))
+    return P.readers(_all(spark, d), w.select("usr", "file", "name"), 2, True)
 
 
 def pattern_config_reader(spark: SparkSession, d: str) -> DataFrame:

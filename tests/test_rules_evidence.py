@@ -168,3 +168,12 @@ def test_totals(spark):
     assert [tuple(r) for r in results.usage_totals(u, ["run"]).collect()] == [("a", 2, 7, 2, 0.5)]
     r = spark.createDataFrame([("a", "pass", None, 3), ("a", " ", True, None), ("a", None, False, 1), ("b", "pass", None, None), ("a", "??", None, None)], "run string, verdict string, needs_recheck boolean, bytes bigint")
     assert sorted(tuple(x) for x in results.summarise(r, ["run"], ["pass"]).collect()) == [("a", 1, 2, 1, 1, 4, False, 4), ("b", 1, 0, 0, 0, 1, True, 0)]
+
+
+def test_literals_and_labels(spark):
+    rows = [("0x1F", 31), ("-12", -12), ("1'000u", 1000), ("010", 8), ("0b101", 5), ("0", 0), ("9223372036854775808", None), ("0xFFFFFFFFFFFFFFFFF", None), ("12UL", 12), ("x", None), (None, None)]
+    df = spark.createDataFrame(rows, "t string, want bigint")
+    assert [(r[0], r[1]) for r in df.select("t", X.integer(F.col("t"))).collect()] == rows
+    labels = [("TEST_F(Suite, doesIt) {", "Suite.doesIt"), ("TEST(\n  A,\n  b)", "A.b"), ("LATEST(a, b)", None)]
+    df = spark.createDataFrame(labels, "t string, want string")
+    assert [(r[0], r[1]) for r in df.select("t", X.test_label(F.col("t"))).collect()] == labels
