@@ -10,13 +10,13 @@ from ripplemark.operators import patterns as P
 from ripplemark.operators.changes import changed_symbols
 from ripplemark.operators.ranking import first_k
 from ripplemark.plans import bindings as B
-from ripplemark.plans.bindings import CH, E, L, S, V
+from ripplemark.plans.bindings import CH, E, H, L, S, V
 from ripplemark.plans.text_queries import _DIFF, _PAIRS
 
 
 def _facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Token facts of the old and the new version of what changed in place."""
-    old, new = B.last_two(spark, d)
+    """Token facts of the old and the new version of what changed in place, from each snapshot to the next."""
+    old, new = B.history(spark, d)
     mod = changed_symbols(old, new).where("change_kind = 'modified'").select("usr")
     return P.token_facts(old.join(mod, "usr", "left_semi")), P.token_facts(new.join(mod, "usr", "left_semi"))
 
@@ -29,38 +29,43 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return B.last_two(spark, d)[1].select("usr", "file")
 
 
+def _now(rows: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    """(usr, name) of any time, with the file the symbol is in now; what is gone is left out."""
+    return rows.select(B.plain().alias("usr"), "name").distinct().join(_files(spark, d), "usr")
+
+
 def _calls(spark: SparkSession, d: str) -> DataFrame:
     return B.edges(spark, d).where("relation = 'call' and dependency is not null and dependent is not null").select(F.col("dependency").alias("callee"), F.col("dependent").alias("caller")).distinct()
 
 
 def pattern_shared_state(spark: SparkSession, d: str) -> DataFrame:
     old, new = _facts(spark, d)
-    return P.readers(_all(spark, d), P.newly(new, old, "write").join(_files(spark, d), "usr"))
+    return P.readers(_all(spark, d), _now(P.newly(new, old, "write"), spark, d))
 
 
 def pattern_removed_write(spark: SparkSession, d: str) -> DataFrame:
     old, new = _facts(spark, d)
-    return P.readers(_all(spark, d), P.newly(old, new, "write").join(_files(spark, d), "usr"))
+    return P.readers(_all(spark, d), _now(P.newly(old, new, "write"), spark, d))
 
 
 def pattern_class_consumer(spark: SparkSession, d: str) -> DataFrame:
     """Readers, in the same file, of names a modified symbol writes."""
     _, new = _facts(spark, d)
     w = first_k(new.where("role = 'write'").groupBy("usr", "file", "name").agg(F.min("at").alias("at")), ["usr"], [F.col("at"), F.col("name")], 2)
-    return P.readers(_all(spark, d), w.select("usr", "file", "name"), 2, True)
+    return P.readers(_all(spark, d), _now(w, spark, d), 2, True)
 
 
 def pattern_config_reader(spark: SparkSession, d: str) -> DataFrame:
     """Readers of at most two longer names a modified symbol newly reads."""
     old, new = _facts(spark, d)
-    n = P.newly(new.where("length(name) >= 8"), old, "read", 2).join(_files(spark, d), "usr")
+    n = _now(P.newly(new.where("length(name) >= 8"), old, "read", 2), spark, d)
     return P.readers(_all(spark, d), n)
 
 
 def pattern_return_meaning(spark: SparkSession, d: str) -> DataFrame:
     """Callers, at most 40, of functions that return something they did not."""
     old, new = _facts(spark, d)
-    r = P.newly(new, old, "return").groupBy("usr").agg(F.min("name").alias("name"))
+    r = P.newly(new, old, "return").groupBy(B.plain().alias("usr")).agg(F.min("name").alias("name"))
     j = r.join(_calls(spark, d), F.col("usr") == F.col("callee")).where("usr <> caller")
     return first_k(j, ["usr"], [F.col("caller")], 40).select("usr", "name", "caller")
 
@@ -148,12 +153,15 @@ def _role(src: str) -> str:
   where regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*$') and name not in ({_NOISE}))"""
 
 
-_TF = f"""{V}, {CH}, mo as (select usr from ch where change_kind = 'modified'), fo as {_role('o where usr in (select usr from mo)')}, fn as {_role('n where usr in (select usr from mo)')}, fa as {_role('n')},
+_TF = f"""{V}, {H}, mo as (select ha.k from ha join hb on ha.k = hb.k where ha.tokens <> hb.tokens or ha.decl_tokens <> hb.decl_tokens), fo as {_role('(select k usr, file, tokens from ha where k in (select k from mo))')}, fn as {_role('(select k usr, file, tokens from hb where k in (select k from mo))')}, fa as {_role('n')},
 rd as (select distinct name, usr reader, file r_file from fa where "role" not in ('write', 'call'))"""
 
 
+_PLAIN = "regexp_replace(usr, '^[0-9]+@', '')"
+
+
 def _new(a: str, b: str, role: str, most: int, where: str = "true") -> str:
-    return f"""(select usr, name from (select usr, name, row_number() over (partition by usr order by min(ps), name) k from {a} x where "role" = '{role}' and {where}
+    return f"""(select distinct {_PLAIN} usr, name from (select usr, name, row_number() over (partition by usr order by min(ps), name) k from {a} x where "role" = '{role}' and {where}
       and not exists (select 1 from {b} y where y.usr = x.usr and y.name = x.name and y."role" = '{role}') group by usr, name) where k <= {most})"""
 
 
@@ -170,7 +178,7 @@ _CALLS = "c as (select distinct dependency callee, dependent caller from e where
 ORACLE = {
     "pattern_shared_state": f"with {_TF} {_read(_new('fn', 'fo', 'write', P.NAMES))}",
     "pattern_removed_write": f"with {_TF} {_read(_new('fo', 'fn', 'write', P.NAMES))}",
-    "pattern_class_consumer": f"""with {_TF} {_read('(select usr, name from (select usr, name, row_number() over (partition by usr order by min(ps), name) k from fn where "role" = ' + "'write'" + ' group by usr, name) where k <= 2)', 2, 'w.file = r_file')}""",
+    "pattern_class_consumer": f"""with {_TF} {_read('(select distinct ' + _PLAIN + ' usr, name from (select usr, name, row_number() over (partition by usr order by min(ps), name) k from fn where "role" = ' + "'write'" + ' group by usr, name) where k <= 2)', 2, 'w.file = r_file')}""",
     "pattern_config_reader": f"with {_TF} {_read(_new('fn', 'fo', 'read', 2, 'length(name) >= 8'))}",
     "pattern_return_meaning": f"""with {E}, {_TF}, {_CALLS}, r as (select usr, min(name) as name from {_new('fn', 'fo', 'return', P.NAMES)} group by usr)
       select usr, name, caller from (select r.*, caller, row_number() over (partition by usr order by caller) k from r join c on callee = usr where usr <> caller) where k <= 40""",
