@@ -50,7 +50,7 @@ def traverse_limit(kind: Column, same_shape: Column, quiet: Column) -> Column:
     )
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_hop: int = 2, keep: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+def reach(edges: DataFrame, roots: DataFrame, max_hop: int = 2, keep: int | None = None, seeds: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Bounded walk from every root at once.
 
     roots: root, limit (see traverse_limit; the column may be absent). Gives (root, node, hop) with the least hop, the
@@ -59,6 +59,8 @@ def reach(edges: DataFrame, roots: DataFrame, max_hop: int = 2, keep: int | None
     edges; FIRST_HOP_ONLY relations are followed from roots only; a walk never enters another root or its own again; what
     only a TERMINAL edge reached is not walked on from.
 
+    seeds: (root, node) that a root reaches at hop 1 without an edge, see header_seeds.
+
     A hop joins only edges out of what the last one reached, on bins planned by the rows that come out: the edges of a
     node times the roots that reached it.
     """
@@ -98,6 +100,9 @@ def reach(edges: DataFrame, roots: DataFrame, max_hop: int = 2, keep: int | None
             step = step.withColumn("open", is_open)
         step = Staged(step, "reach").df
         new = step.groupBy("root", "node").agg(F.max("open").alias("open")) if keep != 0 else step
+        if seeds is not None and hop == 1:
+            sown = seeds.join(roots.select(F.col("root").alias("node")), "node", "left_anti").select("root", "node", F.lit(1).alias("open"))
+            new = Staged(new.select("root", "node", "open").unionByName(sown).groupBy("root", "node").agg(F.max("open").alias("open")), "sown").df
         nodes = nodes.unionByName(new.select("root", "node", F.lit(hop).alias("hop")))
         if keep != 0:
             found = step.drop("open") if found is None else found.unionByName(step.drop("open"))
@@ -106,6 +111,14 @@ def reach(edges: DataFrame, roots: DataFrame, max_hop: int = 2, keep: int | None
     return nodes, found
 
 
+def header_seeds(roots: DataFrame, risks: DataFrame, groups: list[str], header: str) -> DataFrame:
+    """(root, node): the file node of each header some root of which has a risk of one of the groups, for the first such
+    root by id. roots: root, file; risks: root, risk_group."""
+    hot = risks.where(F.col("risk_group").isin(*groups)).select("root").distinct()
+    mine = roots.where(F.col("file").rlike(header)).join(hot, "root", "left_semi")
+    return mine.groupBy("file").agg(F.min("root").alias("root")).select("root", F.concat(F.lit("file:"), "file").alias("node"))
+
+
 def reach_edges(found: DataFrame, a_root: int = EDGES_A_ROOT, a_node: int = EDGES_A_NODE) -> DataFrame:
     """The first edges that justify a node: at most a_root for each root, then at most a_node for the node."""
     by_root = Window.partitionBy("root", "node").orderBy("ord")

@@ -12,7 +12,7 @@ from ripplemark.operators.changes import changed_symbols
 from ripplemark.operators.ranking import first_k
 from ripplemark.plans import bindings as B
 from ripplemark.plans.bindings import CH, E, S, V
-from ripplemark.plans.graph_queries import _REACH, _ROOTS, Two, _folder, _roots
+from ripplemark.plans.graph_queries import _ROOTS, Two, _walk, _folder, _roots
 from ripplemark.runtime import Staged
 from ripplemark.sources.settings import Settings
 from ripplemark.sources.tables import table
@@ -64,7 +64,9 @@ HOPS = Settings.max_hop
 
 
 def _reach(spark: SparkSession, d: str, two: Two, hops: int = HOPS) -> DataFrame:
-    return G.reach(B.edges(spark, d), _roots(spark, d, two), hops, 0)[0]
+    files = changed_symbols(*two).select(F.col("usr").alias("root"), "file")
+    seeds = G.header_seeds(files, _risks(two), K.FILE_GROUPS, R.HEADER)
+    return G.reach(B.edges(spark, d), _roots(spark, d, two), hops, 0, seeds)[0]
 
 
 def _cases(nodes: DataFrame, two: Two) -> DataFrame:
@@ -224,8 +226,10 @@ _FOREIGN = rf"""fc as (select distinct e.dependent root, e.dependency callee, n.
     cast(case when cst then 0 else len(list_filter(ps, lambda p: regexp_matches(p, '[*&]') and not regexp_matches(p, '\bconst\b|&\s*&'))) end as integer) out_params,
     cast(len(list_filter(ps, lambda p: regexp_matches(p, '\b(function|\w*[Cc]allback\w*|\w*[Hh]andler\w*)\b|\(\s*\*'))) as integer) callbacks,
     cast(case when cst then 0 else len(list_filter(ps, lambda p, i: regexp_matches(p, '\*|\bspan\b') and coalesce(regexp_matches(ps[i + 1], '\b(size_t|int|unsigned|uint\d+_t)\b'), false))) end as integer) buffers from fe)"""
-_CASES = f"""with {E}, {S}, {V}, {CH}, {_ROOTS}, {_REACH}, {_RISKS},
-nd as (select distinct root, node, hop from arrive),
+_CASES = f"""with {E}, {S}, {V}, {CH}, {_ROOTS}, {_RISKS},
+sd as (select min(root) root, 'file:' || file node from (select root, file from k join ch on usr = root where risk_group in ('abi_layout', 'build_config') and regexp_matches(file, '\\.(h|hh|hpp|hxx|ipp|inl)$')) group by file having 'file:' || file not in (select root from r)),
+{_walk(Settings.max_hop, "union all select root, node from sd")},
+nd as (select distinct root, node, hop from arrive union select root, node, 1 from sd),
 far as (select node, risk_group, sub_reason, nd.root, nd.hop, starts_with(node, 'file:') fl from nd join k on k.root = nd.root),
 kept as (select * from far where not fl or risk_group in {_Q(K.FILE_GROUPS)}),
 alla as (select * from kept union all select node, 'abi_layout', '', root, hop, fl from far where fl and node not in (select node from kept where fl)),

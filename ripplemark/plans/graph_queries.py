@@ -238,15 +238,17 @@ QUERIES = {
 
 _ROOTS = "r as (select usr root, case when kind in ('class', 'struct', 'union') and usr in (select o.usr from o join n on o.usr = n.usr where o.bases = n.bases and o.decl_tokens = n.decl_tokens) then ['inherit_override', 'include'] end lim from ch)"
 _ONE_HOP = "h1 as (select r.root, e.dependent node, 1 hop, e.ord, e.relation, e.file, e.line from r join e on e.dependency = r.root where e.dependent is not null and e.dependent not in (select root from r) and (r.lim is null or list_contains(r.lim, e.relation)))"
-_STEP = """h{k} as (select h.root, e.dependent node, {k} hop, e.ord, e.relation, e.file, e.line from (select distinct root, node from h{p} where relation <> 'called_by_change') h join e on e.dependency = h.node
+_STEP = """h{k} as (select h.root, e.dependent node, {k} hop, e.ord, e.relation, e.file, e.line from (select distinct root, node from h{p} where relation <> 'called_by_change' {sown}) h join e on e.dependency = h.node
   where e.dependent is not null and e.relation not in ('contains', 'uses_type') and e.dependent not in (select root from r) and not exists (select 1 from ({seen}) x where x.root = h.root and x.node = e.dependent))"""
 
 
-def _walk(hops: int) -> str:
-    """The walk of the engine: h1, h2, ... are the edges that arrive at a node at its least hop, arrive all of them."""
+def _walk(hops: int, sown: str = "") -> str:
+    """The walk of the engine: h1, h2, ... are the edges that arrive at a node at its least hop, arrive all of them; sown
+    adds what is reached at hop 1 without an edge."""
     steps = [_ONE_HOP]
     for k in range(2, hops + 1):
-        steps.append(_STEP.format(k=k, p=k - 1, seen=" union all ".join(f"select root, node from h{i}" for i in range(1, k))))
+        seen = " union all ".join(f"select root, node from h{i}" for i in range(1, k))
+        steps.append(_STEP.format(k=k, p=k - 1, sown=sown if k == 2 else "", seen=f"{seen} {sown}"))
     return ", ".join(steps) + ", arrive as (" + " union all ".join(f"select * from h{k}" for k in range(1, hops + 1)) + "), reach as (select root, root node, 0 hop from r union select root, node, hop from arrive)"
 
 

@@ -12,7 +12,7 @@ from ripplemark.streaming.incremental import daily_counts, merge_once
 EDGE = "ord bigint, dependency string, dependent string, relation string, file string, line int"
 
 
-def brute_reach(edges, roots, max_hop):
+def brute_reach(edges, roots, max_hop, seeds=()):
     by = defaultdict(list)
     for e in edges:
         if e[1] is not None and e[2] is not None:
@@ -33,6 +33,10 @@ def brute_reach(edges, roots, max_hop):
                 used |= {(root, to, o) for o, _ in es}
             seen |= set(found)
             front = [to for to, es in found.items() if any(r != G.TERMINAL for _, r in es)]
+            for to in (t for r, t in seeds if r == root and h == 1 and t not in roots):
+                hops[(root, to)] = 1
+                seen.add(to)
+                front = list({*front, to})
     return hops, used
 
 
@@ -45,10 +49,25 @@ def test_reach_against_brute_force(spark):
     hops, used = brute_reach(edges, roots, 3)
     assert {(x["root"], x["node"]): x["hop"] for x in nodes.collect()} == hops
     assert {(x["root"], x["node"], x["ord"]) for x in found.collect()} == used
+    e, rt = spark.createDataFrame(edges, EDGE), spark.createDataFrame(list(roots.items()), "root string, limit array<string>")
+    seeds = [("n2", "n7"), ("n0", "n1"), ("n3", "new"), ("n3", "n9")]
+    nodes, none = G.reach(e, rt, 3, 0, spark.createDataFrame(seeds, "root string, node string"))
+    assert none is None and {(x["root"], x["node"]): x["hop"] for x in nodes.collect()} == brute_reach(edges, roots, 3, seeds)[0]
+    _, few = G.reach(e, rt, 3, 1)
+    first = {}
+    for root, to, o in used:
+        first[(root, to)] = min(o, first.get((root, to), o))
+    assert {(x["root"], x["node"], x["ord"]) for x in few.collect()} == {(*k, o) for k, o in first.items()}
     few = G.reach_edges(found, 2, 3).collect()
     assert max(len([1 for x in few if x["node"] == n]) for n in {x["node"] for x in few}) <= 3
 
 
+def test_header_seeds(spark):
+    roots = spark.createDataFrame([("b", "x/a.h"), ("a", "x/a.h"), ("c", "x/c.cc"), ("d", "x/d.hpp"), ("e", None)], "root string, file string")
+    risks = spark.createDataFrame([("a", "logic"), ("b", "abi_layout"), ("c", "abi_layout"), ("d", "build_config")], "root string, risk_group string")
+    assert sorted(tuple(r) for r in G.header_seeds(roots, risks, ["abi_layout", "build_config"], r"\.(h|hpp)$").collect()) == [("b", "file:x/a.h"), ("d", "file:x/d.hpp")]
+
+
 def test_closure_with_loops(spark):
     pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("x", "x"), (None, "a"), ("e", None)] + [(f"k{i}", f"k{i + 1}") for i in range(40)]
     got = {tuple(x) for x in G.closure(spark.createDataFrame(pairs, "a string, b string")).collect()}

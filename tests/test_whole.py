@@ -18,15 +18,25 @@ def rows(spark, name):
     return [tuple(r) for r in Q[name](spark, DATA).collect()]
 
 
-def walk(spark, hops, limits=False):
+def header_seeds(spark):
+    """The first root of each header that carries a risk of its file."""
+    file = {r["usr"]: r["file"] for r in Q["changed_symbols"](spark, DATA).collect()}
+    first = {}
+    for root, group, _ in rows(spark, "risk_rules"):
+        if group in ("abi_layout", "build_config") and file[root].endswith((".h", ".hh", ".hpp", ".hxx")):
+            first[file[root]] = min(root, first.get(file[root], root))
+    return [(r, f"file:{f}") for f, r in first.items()]
+
+
+def walk(spark, hops, limits=False, seeds=()):
     edges = [tuple(r) for r in B.edges(spark, DATA).select("ord", "dependency", "dependent", "relation", "file", "line").collect()]
     roots = {r: (x.split(",") if x is not None else None) if limits else None for r, x in rows(spark, "traverse_limits")}
-    return edges, roots, *brute_reach(edges, roots, hops)
+    return edges, roots, *brute_reach(edges, roots, hops, seeds)
 
 
 @needs_data
 def test_cases_at_two_hops(spark):
-    _, _, hops, used = walk(spark, 2, limits=True)
+    _, _, hops, used = walk(spark, 2, limits=True, seeds=header_seeds(spark))
     nodes = {n for _, n in hops}
     assert 2 in hops.values()
     got = Q["case_features"](spark, DATA).select("node", "fan_in").collect()
