@@ -18,14 +18,31 @@ from ripplemark.sources.settings import Settings
 from ripplemark.sources.tables import table
 
 
+class Snapshots(tuple):
+    """The old and the new versions, with what several steps of a query make of them, written once."""
+
+    kept: dict[str, DataFrame]
+
+    def once(self, name: str, make) -> DataFrame:
+        self.__dict__.setdefault("kept", {})
+        if name not in self.kept:
+            self.kept[name] = Staged(make(), name).df
+        return self.kept[name]
+
+
 def _two(spark: SparkSession, d: str) -> Two:
     """The last two snapshots, written once: roots, risks and weights all read them."""
     old, new = B.last_two(spark, d)
-    return Staged(old, "old").df, Staged(new, "new").df
+    return Snapshots((Staged(old, "old").df, Staged(new, "new").df))
+
+
+def _changed(two: Two) -> DataFrame:
+    return two.once("changed", lambda: changed_symbols(*two)) if isinstance(two, Snapshots) else changed_symbols(*two)
 
 
 def _risks(two: Two) -> DataFrame:
-    return R.risk_rows(R.changes_of(*two))
+    make = lambda: R.risk_rows(R.changes_of(*two))
+    return two.once("risks", make) if isinstance(two, Snapshots) else make()
 
 
 def risk_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -64,9 +81,9 @@ HOPS = Settings.max_hop
 
 
 def _reach(spark: SparkSession, d: str, two: Two, hops: int = HOPS) -> DataFrame:
-    files = changed_symbols(*two).select(F.col("usr").alias("root"), "file")
+    files = _changed(two).select(F.col("usr").alias("root"), "file")
     seeds = G.header_seeds(files, _risks(two), K.FILE_GROUPS, R.HEADER)
-    return G.reach(B.edges(spark, d), _roots(spark, d, two), hops, 0, seeds)[0]
+    return G.reach(B.edges(spark, d), _roots(spark, d, changes=_changed(two)), hops, 0, seeds)[0]
 
 
 def _cases(nodes: DataFrame, two: Two) -> DataFrame:
@@ -90,7 +107,7 @@ def case_priority(spark: SparkSession, d: str, hops: int = HOPS) -> DataFrame:
 
 
 def _weights(two: Two) -> DataFrame:
-    return changed_symbols(*two).select(F.col("usr").alias("root"), "lines")
+    return _changed(two).select(F.col("usr").alias("root"), "lines")
 
 
 def case_features(spark: SparkSession, d: str, hops: int = HOPS) -> DataFrame:

@@ -16,16 +16,16 @@ from ripplemark.sources.tables import table
 Two = tuple[DataFrame, DataFrame]
 
 
-def changed(spark: SparkSession, d: str, two: Two | None = None) -> DataFrame:
-    return C.changed_symbols(*(two or B.last_two(spark, d)))
+def changed(spark: SparkSession, d: str) -> DataFrame:
+    return C.changed_symbols(*B.last_two(spark, d))
 
 
 def changed_symbols(spark: SparkSession, d: str) -> DataFrame:
     return changed(spark, d).select("usr", "file", "kind", "change_kind", F.col("lines").cast("bigint").alias("lines"))
 
 
-def _roots(spark: SparkSession, d: str, two: Two | None = None) -> DataFrame:
-    c = changed(spark, d, two)
+def _roots(spark: SparkSession, d: str, changes: DataFrame | None = None) -> DataFrame:
+    c = changed(spark, d) if changes is None else changes
     return c.select(F.col("usr").alias("root"), G.traverse_limit(F.col("kind"), F.col("same_shape"), F.lit(False)).alias("limit"))
 
 
