@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplemark.operators import blocks
 from ripplemark.operators.ranking import first_k
 from ripplemark.operators.skew import plan_counts, plan_loads, skew_join
 from ripplemark.runtime import Staged
@@ -151,20 +152,15 @@ def closure(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64)
     raise RuntimeError(f"paths of over 2^{max_rounds} links")
 
 
-def override_pairs(methods: DataFrame, bases: DataFrame) -> DataFrame:
-    """(method, overridden) both ways: methods of a class and of its transitive bases with one display, either virtual.
+def override_groups(methods: DataFrame, bases: DataFrame) -> DataFrame:
+    """(method, overrides): the methods of one display in the transitive bases of a method's class, and in the classes that
+    have it as a base; either is virtual.
 
     methods: id, parent, display, is_virtual; bases: cls, base."""
-    up = closure(bases.select("cls", "base"), "cls", "base")
-    m = methods.where(F.col("parent").isNotNull() & F.col("display").isNotNull()).select("id", "parent", "display", F.coalesce("is_virtual", F.lit(False)).alias("v")).distinct()
-    own = m.select(F.col("parent").alias("cls"), "display", F.col("id").alias("method"), F.col("v").alias("mv"))
-    high = m.select(F.col("parent").alias("base"), "display", F.col("id").alias("overridden"), F.col("v").alias("ov"))
-    one = own.join(up, "cls").join(high, ["base", "display"]).where("(mv or ov) and method <> overridden").select("method", "overridden")
-    return one.unionByName(one.select(F.col("overridden").alias("method"), F.col("method").alias("overridden"))).distinct()
-
-
-def override_groups(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("method").agg(F.array_sort(F.collect_set("overridden")).alias("overrides"))
+    links = bases.select(F.col("cls").alias("a"), F.col("base").alias("b")).where("a is not null and b is not null").distinct()
+    m = methods.where(F.col("parent").isNotNull() & F.col("display").isNotNull())
+    marks = m.select(F.col("parent").alias("node"), F.col("id").alias("name"), F.col("display").alias("label"), F.coalesce("is_virtual", F.lit(False)).alias("flag")).distinct()
+    return blocks.related(blocks.graph(links, marks), ("method", "overrides"))
 
 
 def choose_definition(refs: DataFrame, symbols: DataFrame, near: int = 3) -> DataFrame:

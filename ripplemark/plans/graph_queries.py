@@ -64,7 +64,8 @@ def override_pairs(spark: SparkSession, d: str) -> DataFrame:
     # a class's methods carry their class as parent; a method that overrides stands for its class
     owner = s.select(F.col("id").alias("m"), F.coalesce("parent", "id").alias("c"))
     b = e.join(owner.select(F.col("m").alias("cls"), F.col("c").alias("a")), "cls").join(owner.select(F.col("m").alias("base"), F.col("c").alias("b")), "base")
-    return G.override_groups(G.override_pairs(s.where("parent is not null").withColumn("display", F.regexp_extract("spelling", "^[a-z]+", 0)), b.select(F.col("a").alias("cls"), F.col("b").alias("base")).where("cls <> base"))).select("method", F.array_join("overrides", " ").alias("overrides"))
+    methods = s.where("parent is not null").withColumn("display", F.regexp_extract("spelling", "^[a-z]+", 0))
+    return G.override_groups(methods, b.select(F.col("a").alias("cls"), F.col("b").alias("base")).where("cls <> base")).select("method", F.array_join("overrides", " ").alias("overrides"))
 
 
 def target_dependents(spark: SparkSession, d: str) -> DataFrame:
