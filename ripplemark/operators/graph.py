@@ -6,8 +6,6 @@ changes. Every "first k" follows an explicit order column, never the order rows
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,23 +131,12 @@ def merge_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("node").agg(F.min("hop").alias("hop"), F.array_sort(F.collect_set("root")).alias("roots"))
 
 
-def closure(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
-    """All (a, b) with a path of one or more links, cycle-safe: semi-naive doubling until nothing is new."""
-    first = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b).distinct()
-    parts = [Staged(first, "closure").df]
-    new = parts[0]
-    for _ in range(max_rounds):
-        known = reduce(DataFrame.unionByName, parts)
-        # only what is new is joined, with itself and on both sides of what was known
-        r = known.select(F.col(a).alias("_m"), F.col(b).alias("_b"))
-        l = known.select(F.col(a).alias("_a"), F.col(b).alias("_m"))
-        ahead = new.select(a, F.col(b).alias("_m")).join(r, "_m").select(a, F.col("_b").alias(b))
-        behind = l.join(new.select(F.col(a).alias("_m"), b), "_m").select(F.col("_a").alias(a), b)
-        new = Staged(ahead.unionByName(behind).distinct().join(known, [a, b], "left_anti"), "closure").df
-        if new.limit(1).count() == 0:
-            return known
-        parts.append(new)
-    raise RuntimeError(f"paths of over 2^{max_rounds} links")
+def closure(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """All (a, b) with a path of one or more links, cycle-safe."""
+    links = pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null").distinct()
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    g = blocks.graph(links, ends.select("node", F.col("node").alias("name"), F.lit("").alias("label"), F.lit(False).alias("flag")))
+    return blocks.named_pairs(g, (a, b), dict(links.dtypes)["a"])
 
 
 def override_groups(methods: DataFrame, bases: DataFrame) -> DataFrame:

@@ -54,3 +54,10 @@ def test_override_groups_write_no_pairs_of_classes(spark, written):
     got = G.override_groups(mk(methods, "id string, parent string, display string, is_virtual boolean"), mk(bases, "cls string, base string")).collect()
     assert {r["method"]: r["overrides"] for r in got} == {a: sorted(bs) for a, bs in want.items()} and len(got) == len(want)
     assert written() < len(bases)
+
+
+def test_closure_writes_no_pairs(spark, written):
+    pairs = links(80, 120, 2)
+    got = [tuple(r) for r in G.closure(spark.createDataFrame(pairs, "a string, b string")).collect()]
+    assert set(got) == brute(pairs) and len(got) == len(set(got))
+    assert written() < len(pairs)
