@@ -223,9 +223,10 @@ def affected_targets(touched: DataFrame, target_deps: DataFrame) -> DataFrame:
     """(target, via): targets that hold what was touched (via null), and all that depend on them, over any distance, with
     the smallest of the touched targets they depend on. touched: target; target_deps: target, needs."""
     direct = touched.select("target").distinct()
-    far = closure(target_deps.select("target", "needs"), "target", "needs")
-    indirect = far.join(direct.select(F.col("target").alias("needs")), "needs", "left_semi").join(direct, "target", "left_anti")
-    return direct.select("target", F.lit(None).cast("string").alias("via")).unionByName(indirect.groupBy("target").agg(F.min("needs").alias("via")))
+    links = target_deps.select(F.col("target").alias("a"), F.col("needs").alias("b")).where("a is not null and b is not null").distinct()
+    ends = links.select(F.explode(F.array("a", "b")).alias("target")).distinct().join(direct.withColumn("flag", F.lit(True)), "target", "left")
+    g = blocks.graph(links, ends.select(F.col("target").alias("node"), F.col("target").alias("name"), F.lit("").alias("label"), F.coalesce("flag", F.lit(False)).alias("flag")))
+    return direct.select("target", F.lit(None).cast("string").alias("via")).unionByName(blocks.least(g, ("target", "via")))
 
 
 def test_gaps(roots: DataFrame, nodes: DataFrame, is_test: Column) -> DataFrame:

@@ -61,3 +61,15 @@ def test_closure_writes_no_pairs(spark, written):
     got = [tuple(r) for r in G.closure(spark.createDataFrame(pairs, "a string, b string")).collect()]
     assert set(got) == brute(pairs) and len(got) == len(set(got))
     assert written() < len(pairs)
+
+
+def test_affected_targets_write_no_pairs(spark, written):
+    deps = links(80, 60, 3)
+    touched = {"n3", "n7", "l5", "alone"}
+    via = {}
+    for a, b in brute(deps):
+        if b in touched and a not in touched:
+            via[a] = min(b, via.get(a, b))
+    got = G.affected_targets(spark.createDataFrame([(x,) for x in touched], "target string"), spark.createDataFrame(deps, "target string, needs string")).collect()
+    assert sorted((r["target"], r["via"] or "") for r in got) == sorted([(x, "") for x in touched] + list(via.items()))
+    assert written() < len(deps)
