@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from ripplemark.operators import detectors as D
 from ripplemark.operators import graph as G
 from ripplemark.runtime import Staged
 
@@ -73,3 +74,24 @@ def test_affected_targets_write_no_pairs(spark, written):
     got = G.affected_targets(spark.createDataFrame([(x,) for x in touched], "target string"), spark.createDataFrame(deps, "target string, needs string")).collect()
     assert sorted((r["target"], r["via"] or "") for r in got) == sorted([(x, "") for x in touched] + list(via.items()))
     assert written() < len(deps)
+
+
+def shuffled(spark):
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_new_enum_value_meets_few_users(spark):
+    types, names = [f"t{i}" for i in range(60)], ["AAAA", "BBBB", "CCCC", "DDDD"]
+    old = [(t, n) for t in types for n in names]
+    new = old + [(t, f"N{i % 3}") for i, t in enumerate(types)]
+    users = [(f"u{k:04}", n) for k in range(600) for n in names] + [(f"u{k:04}", f"N{j}") for j in range(3) for k in range(600) if j < 2 and (k < 100 or k % 2 == j) or k < 3]
+    holds = set(users)
+    want = sorted((t, f"N{i % 3}", u) for i, t in enumerate(types) for u in [f"u{k:04}" for k in range(600) if (f"u{k:04}", f"N{i % 3}") not in holds][:8])
+    mk, before = spark.createDataFrame, shuffled(spark)
+    got = D.new_enum_value(mk(old, "usr string, name string"), mk(new, "usr string, name string"), mk(users, "usr string, name string")).collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert shuffled(spark) - before < len(types) * 600
