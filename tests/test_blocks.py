@@ -5,6 +5,7 @@ import random
 import pytest
 
 from ripplemark.operators import detectors as D
+from ripplemark.operators import flow
 from ripplemark.operators import graph as G
 from ripplemark.runtime import Staged
 
@@ -95,3 +96,28 @@ def test_new_enum_value_meets_few_users(spark):
     got = D.new_enum_value(mk(old, "usr string, name string"), mk(new, "usr string, name string"), mk(users, "usr string, name string")).collect()
     assert sorted(tuple(r) for r in got) == want
     assert shuffled(spark) - before < len(types) * 600
+
+
+def flow_tables(spark, n=60):
+    """Functions f0.. that all hand two values over to all functions of one name, and a few that no one takes."""
+    mk, f = spark.createDataFrame, range(n)
+    within = mk([(f"f{i}|n", f"f{i}|x") for i in f] + [(f"f{i}|x", f"f{i}|y") for i in f], "src string, dst string")
+    exits = mk([(f"f{i}|y", f"arg|c{i % 3}") for i in f] + [(f"f{i}|x", f"arg|lost{i % 7}") for i in f], "node string, channel string")
+    entries = mk([(f"arg|c{(i + 1) % 3}", f"f{i}|n") for i in f], "channel string, node string")
+    starts = mk([(f"f{i}", f"f{i}|x") for i in f], "root string, node string")
+    calls = mk([(f"f{i}|y", f"f{i}", "send" if i % 2 else "log", i % 2 == 1) for i in f], "node string, usr string, callee string, emits boolean")
+    return within, exits, entries, starts, calls
+
+
+def depths(n=60, depth=3):
+    """For each root the functions whose values are reached, with the least depth; f's own x and y come at 0, its n later."""
+    out = {}
+    for r in range(n):
+        out[f"f{r}"] = {f"f{r}|x": 0, f"f{r}|y": 0} | {f"f{i}|{v}": d for d in range(depth, 0, -1) for i in range(n) if (i - r) % 3 == (-d) % 3 for v in "nxy" if i != r or v == "n"}
+    return out
+
+
+def test_emitting_writes_no_values(spark, written):
+    got = {(r["root"], r["usr"]): r["depth"] for r in flow.emitting(flow.flow(*flow_tables(spark)), 3).collect()}
+    assert got == {(root, f"f{i}"): nodes[f"f{i}|y"] for root, nodes in depths().items() for i in range(1, 60, 2) if f"f{i}" != root}
+    assert written() < 60
