@@ -81,11 +81,18 @@ def unresolved_flags(roots: DataFrame, missed: DataFrame) -> DataFrame:
     return _flag(roots.select("root").distinct().join(missed.select("root").distinct(), "root", "left_semi"), "provider_unresolved", "provider")
 
 
-def break_flags(breaks: DataFrame, shown: int = 5) -> DataFrame:
+SHOWN = 5
+
+
+def break_flags(breaks: DataFrame, shown: int = SHOWN) -> DataFrame:
     """Roots whose data leave the traced paths: the first places and how many more. breaks: root, place."""
     few = first_k(breaks.distinct(), ["root"], [F.col("place")], shown)
-    n = breaks.distinct().groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    g = few.groupBy("root").agg(F.array_sort(F.collect_list("place")).alias("ps")).join(n, "root")
+    return first_breaks(few.join(breaks.distinct().groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root"), shown)
+
+
+def first_breaks(few: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """The same of the first places only. few: root, place, n (how many places the root has)."""
+    g = few.groupBy("root").agg(F.array_sort(F.collect_list("place")).alias("ps"), F.max("n").alias("n"))
     more = F.when(F.col("n") > shown, F.concat(F.lit(" and "), F.col("n") - shown, F.lit(" more"))).otherwise("")
     return _flag(g, "dynamic_runtime_dependency", "data leaves", F.concat(F.array_join("ps", "; "), more))
 

@@ -121,3 +121,17 @@ def test_emitting_writes_no_values(spark, written):
     got = {(r["root"], r["usr"]): r["depth"] for r in flow.emitting(flow.flow(*flow_tables(spark)), 3).collect()}
     assert got == {(root, f"f{i}"): nodes[f"f{i}|y"] for root, nodes in depths().items() for i in range(1, 60, 2) if f"f{i}" != root}
     assert written() < 60
+
+
+def test_breaks_write_no_values(spark, written):
+    *t, _ = flow_tables(spark)
+    g = flow.flow(*t)
+    every, few = flow.breaks(g, 3).collect(), flow.breaks(g, 3, 5).collect()
+    want = {}
+    for root, nodes in depths().items():
+        at = {(f"arg|lost{int(x[1:-2]) % 7}", "no one takes it") for x, d in nodes.items() if x.endswith("|x") and d < 3}
+        want[root] = sorted(at | {(f"arg|c{int(x[1:-2]) % 3}", "depth limit") for x, d in nodes.items() if x.endswith("|y") and d == 3}, key=lambda p: (p[1], p[0]))
+    by = lambda rows, root: sorted(((r["channel"], r["why"]) for r in rows if r["root"] == root), key=lambda p: (p[1], p[0]))
+    assert all(by(every, r) == w and by(few, r) == w[:5] for r, w in want.items())
+    assert all(r["n"] == len(want[r["root"]]) for r in few)
+    assert written() < 60
