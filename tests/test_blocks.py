@@ -117,6 +117,17 @@ def depths(n=60, depth=3):
     return out
 
 
+def test_reach_counts_write_no_values(spark, written):
+    *t, calls = flow_tables(spark)
+    got = {(r["root"], r["depth"]): r["vals"] for r in flow.reach_counts(flow.flow(*t), 3).collect()}
+    want = {}
+    for root, nodes in depths().items():
+        for d in nodes.values():
+            want[root, d] = want.get((root, d), 0) + 1
+    assert got == want
+    assert written() < 60
+
+
 def test_emitting_writes_no_values(spark, written):
     got = {(r["root"], r["usr"]): r["depth"] for r in flow.emitting(flow.flow(*flow_tables(spark)), 3).collect()}
     assert got == {(root, f"f{i}"): nodes[f"f{i}|y"] for root, nodes in depths().items() for i in range(1, 60, 2) if f"f{i}" != root}
